@@ -2,11 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality, sql_quality
+from . import decontaminate, html_text, language, packing, quality, sql_quality, token_counts, toxicity, warc
 from .common import table
 
+#: Vocabulary files of public tokenizers.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def _fold(n: int) -> Column:
+    """The fold of a row: crc32 of its doc_id's text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest-centroid language of every document; the fold of remainder 0 is held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(*language.training_sample(docs, _fold(5) != 0))
+    return language.predict(docs, model).withColumn("held_out", _fold(5) == 0).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record of every page, written and read back."""
+    return warc.page_records(spark, table(spark, sf_dir, "pages"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every document."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; the fold of remainder 2 is held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(*toxicity.training_sample(docs, table(spark, sf_dir, "labels"), _fold(4) != 2))
+    scored = toxicity.score_texts(docs, model)
+    return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals and verdict of every document."""
@@ -15,5 +54,24 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(signals, limits).select("doc_id", *quality.BASE, "base_failed", "kept", "stratum")
 
 
-QUERIES = {"op8_quality_rules": op8_quality_rules}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents and the benchmark items that they leak."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_warc": op2_warc,
+    "op3_packing": op3_packing,
+    "op4_token_counts": op4_token_counts,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_decontamination": op9_decontamination,
+    "op10_html_extraction": op10_html_extraction,
+}
 ORACLES = {"op8_quality_rules": sql_quality.ORACLE}
