@@ -3,17 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seqforge.llm import common, quality
+from seqforge.llm import common, decontaminate, jaccard, line_dedup, packing, quality
+from seqforge.llm.queries import TOKENIZERS
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the risk-controlled rules keep."""
+    """Documents that the base rules and the risk-controlled cutoffs keep."""
     limits = quality.cutoffs(quality.holdout_signals(docs), common.table(spark, sf_dir, "labels"))
     return quality.judge(quality.with_signals(docs), limits).where("kept").select(*docs.columns)
 
 
-STAGES = [("quality rules", quality_rules)]
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that occur before; those of which nothing is left go."""
+    done = line_dedup.dedup_lines(docs)
+    left = done.where("n_dropped = 0 OR text IS NULL OR text RLIKE '\\\\S'")
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents, the one of the smallest doc_id."""
+    groups = jaccard.join_similar(docs)
+    others = common.cut(groups.where("doc_id != class_id").select("doc_id").distinct())
+    return docs.join(common.sized(others), "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    leaked = common.cut(decontaminate.leaks(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    return docs.join(common.sized(leaked), "doc_id", "left_anti").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens."""
+    return packing.pack_documents(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup_stage),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("packing", packed),
+]
+#: SQL expresses neither the similarity join's classes nor tokenisation; tests/llm compares the stages with plain versions.
 ORACLE_SQL = None
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,3 +43,11 @@ def stored(df: DataFrame) -> DataFrame:
 def sized(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """A kept (``cut``) narrow table, marked for broadcast only if its counted rows are few."""
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def worker_state(name: str, make: Callable[[], object]) -> object:
+    """Something costly that a Python worker keeps from task to task: made once per process."""
+    store = sys.modules.setdefault("_seqforge_worker", types.ModuleType("_seqforge_worker")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]

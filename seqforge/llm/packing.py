@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,13 +26,16 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from . import common
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 #: Sequences numbered within a partition.
 PER_PARTITION = 1 << 40
-#: White space at which the word tokenizer splits.
-SPACE = re.compile(r"\s+")
-#: Most chunks whose ids a task remembers.
-MAX_CHUNKS = 300_000
+SEPARATORS, SPACES = re.compile("[\x1c-\x1f]"), re.compile("[^\\S\x1c-\x1f]+")
+#: Marks that the word tokenizer cuts from a word of letters.
+MARKS = ".,;:!?"
+#: Chunks whose ids a worker remembers before it starts anew; documents tokenised at a time.
+MAX_CHUNKS, AT_ONCE = 800_000, 256
 
 
 @dataclass(frozen=True)
@@ -131,35 +135,62 @@ class Packer:
         return rows
 
 
-def word_ids(tokenizer_path: str):
-    """text -> ids, for a tokenizer that drops white space: each chunk between spaces is tokenised once and remembered."""
-    from tokenizers import Tokenizer
+def chunks_of(text: str) -> list[str]:
+    """Chunks between spaces, in lower case where that is safe: the tokenizer lower-cases all but its special tokens."""
+    if text.isascii() and "<|" not in text:
+        text = text.lower()
+    if SEPARATORS.search(text):  # which Python counts as spaces and the tokenizer does not
+        return [c for c in SPACES.split(text) if c]
+    return text.split()
+
+
+class WordIds:
+    """texts -> ids, for a tokenizer that lower-cases and drops white space: each chunk between spaces is tokenised once and remembered."""
+
+    def __init__(self, tokenizer_path: str, max_chunks: int = MAX_CHUNKS):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.max_chunks = Tokenizer.from_file(tokenizer_path), max_chunks
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, new: set[str]) -> None:
+        """Marks after a word of letters are tokens of their own, so words are remembered without them."""
+        words = {c: c.rstrip(MARKS) for c in new}
+        words = {c: w if w.isalpha() else c for c, w in words.items()}
+        parts = {w for w in words.values() if w not in self.known}
+        parts.update(m for c, w in words.items() if (m := c[len(w) :]) and m not in self.known)
+        parts = list(parts)
+        for part, encoded in zip(parts, self.tokenizer.encode_batch(parts, add_special_tokens=False), strict=True):
+            self.known[part] = array("I", encoded.ids).tobytes()
+        for c, w in words.items():
+            if c != w:
+                self.known[c] = self.known[w] + self.known[c[len(w) :]]
 
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    known: dict[str, np.ndarray] = {}
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        split = [chunks_of(t) for t in texts]
+        if len(self.known) > self.max_chunks:
+            self.known.clear()
+        known = self.known
+        if new := set().union(*split).difference(known):
+            self._learn(new)
+        return [np.frombuffer(b"".join([known[c] for c in chunks]), dtype="<u4") for chunks in split]
 
-    def ids(text: str) -> np.ndarray:
-        chunks = [c for c in SPACE.split(text) if c]
-        if new := [c for c in dict.fromkeys(chunks) if c not in known]:
-            if len(known) + len(new) > MAX_CHUNKS:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            for chunk, encoded in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(encoded.ids, dtype=np.uint32)
-        return np.concatenate([known[c] for c in chunks]) if chunks else np.zeros(0, dtype=np.uint32)
 
-    return ids
+def _encoder(tokenizer_path: str) -> WordIds:
+    return common.worker_state(f"word ids of {tokenizer_path}", lambda: WordIds(tokenizer_path))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits: Limits = Limits(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of all documents; every id of a document but its first bears loss."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, packer = word_ids(tokenizer_path), Packer(limits, TaskContext.get().partitionId() * PER_PARTITION)
+        encode, packer = _encoder(tokenizer_path), Packer(limits, TaskContext.get().partitionId() * PER_PARTITION)
         for batch in batches:
-            for k, t in zip(batch["key"].tolist(), batch["text"].tolist(), strict=True):
-                ids = np.append(encode(t or ""), np.uint32(end_id))
-                packer.add(k, ids, np.maximum(np.arange(len(ids) + 1) - 1, 0))
+            keys, texts = batch["key"].tolist(), [t or "" for t in batch["text"]]
+            for at in range(0, len(keys), AT_ONCE):
+                for k, found in zip(keys[at : at + AT_ONCE], encode(texts[at : at + AT_ONCE]), strict=True):
+                    ids = np.append(found, np.uint32(end_id))
+                    packer.add(k, ids, np.maximum(np.arange(len(ids) + 1) - 1, 0))
             yield frame(packer.taken())
         packer.flush()
         yield frame(packer.taken())
@@ -176,10 +207,10 @@ def pack_turns(turns: DataFrame, tokenizer_path: str, end_id: int = 2, limits: L
     whole = whole.select(F.col("conv_id").alias("key"), F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, packer = word_ids(tokenizer_path), Packer(limits, TaskContext.get().partitionId() * PER_PARTITION)
+        encode, packer = _encoder(tokenizer_path), Packer(limits, TaskContext.get().partitionId() * PER_PARTITION)
         for batch in batches:
             for k, roles, texts in zip(batch["key"].tolist(), batch["roles"], batch["texts"], strict=True):
-                parts = [np.append(encode(t), np.uint32(end_id)) for t in texts]
+                parts = [np.append(found, np.uint32(end_id)) for found in encode(list(texts))]
                 bears = np.concatenate([np.full(len(p), r == "assistant") for p, r in zip(parts, roles, strict=True)])
                 packer.add(k, np.concatenate(parts), np.append(0, np.cumsum(bears)))
             yield frame(packer.taken())

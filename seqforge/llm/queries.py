@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, packing, quality, sql_quality, token_counts, toxicity, warc
+from . import decontaminate, html_text, jaccard, language, line_dedup, packing, quality, sql_quality, token_counts, toxicity, warc
 from .common import table
 
 #: Vocabulary files of public tokenizers.
@@ -39,6 +39,17 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that occur, themselves or nearly, before."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group, class of equal sets and number of links of every document."""
+    return jaccard.join_similar(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; the fold of remainder 2 is held out."""
     docs = table(spark, sf_dir, "documents")
@@ -69,6 +80,8 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_packing": op3_packing,
     "op4_token_counts": op4_token_counts,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,

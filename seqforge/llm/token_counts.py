@@ -1,7 +1,7 @@
 """Token counts of texts under a unigram model, by a trie of distinct pre-tokens.
 
 A pre-token is a run of characters other than white space, with the vocabulary's word mark
-before it. Each task walks its texts, inserts pre-tokens that it has not met into a trie
+before it. Each worker walks its texts, inserts pre-tokens that it has not met into a trie
 and computes, for each new node only, the best forward score of the prefix (and the pieces
 on that path) from the scores of the nodes above it; a pre-token's terminal node stores its
 count. Prefixes that pre-tokens share are thus scored once. The trie is rebuilt when it
@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 WORD_MARK = "▁"
 RANK_SHIFT = 10.0
 #: Score of one byte of a character without a piece; below that of any piece.
@@ -96,7 +98,7 @@ def count_tokens(docs: DataFrame, model_path: str, key: str = "doc_id", text: st
     """key, n_pretokens, n_tokens of every row."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = Trie(piece_scores(model_path))
+        trie = common.worker_state(f"trie of {model_path}", lambda: Trie(piece_scores(model_path)))
         for batch in batches:
             n_words, n_tokens = [], []
             for t in batch["text"]:

@@ -8,8 +8,8 @@ Spark's text writer, with the record terminator as line separator, gives the fil
 Reading: Spark's text reader splits the files at the version line, so every task sees
 candidate records at known byte offsets, true ones and ones inside payloads alike. Each
 candidate states its successor's offset. Pointer jumping from offset 0 of each file, with
-joins that double the jump in each round, leaves the candidates on the chain; all others
-are payload bytes and are joined to the record that holds them.
+joins that double the jump in each round over runs of candidates that follow each other
+without a gap, leaves the candidates on the chain; all others are payload bytes and are joined to the record that holds them.
 
 Defined results: null html is an empty payload; a null page_id or url writes no such field
 (page_id reads as null), and rows of null page_id are revisits of a non-null equal or else
@@ -102,9 +102,11 @@ def _header(name: str) -> Column:
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """One narrow row for each chunk: file, start (offset of its version line), next (offset of its successor) and what its header says; kept.
+    """One narrow row for each chunk: file, start (offset of its version line), next (offset of its successor), run and what its header says; kept.
 
-    The chunk before the first version line of a file has a null start if it is empty.
+    Candidates of a run follow each other without a gap: each names the next one as its successor.
+
+    What stands before the first version line of a file is no candidate.
     """
     c = _chunks(spark, path).withColumn("split", F.instr("value", END))
     c = c.withColumn("head", F.when(F.col("split") > 0, F.substring_index("value", END, 1)))
@@ -130,8 +132,10 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     before = Window.partitionBy("file").orderBy("block", "seq").rowsBetween(Window.unboundedPreceding, -1)
     # each chunk but the first stands after a version line, so the bytes before it are those of the chunks and lines before
     place = F.coalesce(F.sum(F.col("bytes") + len(MAGIC)).over(before), F.lit(0)) - len(MAGIC)
-    placed = narrow.withColumn("start", place).where("start >= 0")
-    return common.cut(placed.withColumn("next", F.col("start") + F.col("span")))
+    placed = narrow.withColumn("start", place).where("start >= 0").withColumn("next", F.col("start") + F.col("span"))
+    order = Window.partitionBy("file").orderBy("start")
+    broken = F.when(F.lag("next").over(order) == F.col("start"), 0).otherwise(1)
+    return common.cut(placed.withColumn("run", F.sum(broken).over(order.rowsBetween(Window.unboundedPreceding, 0))))
 
 
 def payload_of(block: Column) -> Column:
@@ -140,29 +144,32 @@ def payload_of(block: Column) -> Column:
 
 
 def reachable(found: DataFrame) -> DataFrame:
-    """file, start of the candidates on the chain from offset 0, by pointer jumping: each round joins the reached offsets with jumps of twice the length."""
-    most = found.groupBy("file").count().agg(F.max("count")).first()[0] or 0
-    known = found.select("file", "start")
-    jump = found.where("next IS NOT NULL").select("file", "start", F.col("next").alias("to"))
-    jump = jump.join(known.withColumnRenamed("start", "to"), ["file", "to"], "left_semi").select("file", "start", "to")
-    reached = found.where("start = 0").select("file", "start")
+    """file, run, entry: the runs on the chain from offset 0 and where it enters them, by pointer jumping.
+
+    A run is left at its last candidate only, so runs are the nodes; each round joins the
+    reached ones with jumps of twice the length. A file without false candidates is one run.
+    """
+    runs = found.groupBy("file", "run").agg(F.max_by("next", "start").alias("start"))
+    jump = runs.join(found.select("file", "start", F.col("run").alias("to")), ["file", "start"]).select("file", "run", "to", F.col("start").alias("entry"))
+    jump = common.cut(jump)
+    reached = common.cut(found.where("start = 0").select("file", "run", F.col("start").alias("entry")))
+    most = runs.groupBy("file").count().agg(F.max("count")).first()[0] or 0
     for _ in range(max(0, most - 1).bit_length()):
-        ahead = reached.join(jump, ["file", "start"]).select("file", F.col("to").alias("start"))
+        ahead = reached.select("file", "run").join(jump, ["file", "run"]).select("file", F.col("to").alias("run"), "entry")
         reached = common.cut(reached.unionByName(ahead).distinct())
-        onward = jump.select("file", F.col("start").alias("to"), F.col("to").alias("far"))
-        jump = common.cut(jump.join(onward, ["file", "to"]).select("file", "start", F.col("far").alias("to")))
+        onward = jump.select("file", F.col("run").alias("to"), F.col("to").alias("far"), F.col("entry").alias("last"))
+        jump = common.cut(jump.join(onward, ["file", "to"]).select("file", "run", F.col("far").alias("to"), F.col("last").alias("entry")))
     return reached
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """record_id, record_type, refers, stated (digest), payload_bytes, payload_digest of every record on the chains (payload as stored)."""
     found = candidates(spark, path)
-    chain = common.cut(reachable(found).withColumn("on_chain", F.lit(True)))
-    marked = found.join(chain, ["file", "start"], "left")
+    marked = found.join(common.sized(reachable(found)), ["file", "run"], "left").withColumn("on_chain", F.coalesce(F.col("start") >= F.col("entry"), F.lit(False)))
     so_far = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
     owned = marked.withColumn("owner", F.last(F.when(F.col("on_chain"), F.col("start")), ignorenulls=True).over(so_far))
     fields = ["record_id", "record_type", "refers", "stated", "payload_bytes", "payload_digest"]
-    parted = common.cut(owned.where("owner IS NOT NULL AND NOT (on_chain <=> true)").select("file", "owner").distinct())
+    parted = common.cut(owned.where("owner IS NOT NULL AND NOT on_chain").select("file", "owner").distinct())
     keys = ["file", "owner"]
     plain = owned.where("on_chain").select(*keys, "content", *fields).join(common.sized(parted), keys, "left_anti").select(*fields)
     if parted.isEmpty():
