@@ -1,4 +1,6 @@
 """Registry of the runnable queries and the SQL each one is held against."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from seqforge.plans import chunks, degradations, frames, sequences
+
+QUERIES: dict = {**frames.QUERIES, **chunks.QUERIES, **degradations.QUERIES, **sequences.QUERIES}
+ORACLES: dict[str, str] = {**frames.ORACLES, **chunks.ORACLES, **degradations.ORACLES, **sequences.ORACLES}
