@@ -11,15 +11,18 @@ from seqforge.llm.queries import TOKENIZERS
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the risk-controlled cutoffs keep."""
-    limits = quality.cutoffs(quality.holdout_signals(docs), common.table(spark, sf_dir, "labels"))
-    return quality.judge(quality.with_signals(docs), limits).where("kept").select(*docs.columns)
+    signals = quality.holdout_signals(docs)
+    judged = quality.judge(signals, quality.cutoffs(signals, common.table(spark, sf_dir, "labels")))
+    rejected = common.cut(judged.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (quality.text_hash("text") == F.col("_hash"))
+    return docs.join(common.sized(rejected), same, "left_anti").select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that occur before; those of which nothing is left go."""
-    done = line_dedup.dedup_lines(docs)
-    left = done.where("n_dropped = 0 OR text IS NULL OR text RLIKE '\\\\S'")
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    done = line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    left = common.filtered(done, F.expr("n_dropped = 0 OR text IS NULL OR text RLIKE '\\\\S'"))
+    return left.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

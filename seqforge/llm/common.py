@@ -8,7 +8,7 @@ import types
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows of narrow keys that are broadcast (16 MB of longs); beyond it, joins shuffle.
@@ -45,6 +45,11 @@ def sized(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def filtered(df: DataFrame, condition: Column) -> DataFrame:
+    """``df.where(condition)`` over costly columns: the filter stays above the projection, which pushing it down would evaluate again inside it."""
+    return df.withColumn("_row", F.monotonically_increasing_id()).where(condition & (F.col("_row") >= 0)).drop("_row")
+
+
 def worker_state(name: str, make: Callable[[], object]) -> object:
     """Something costly that a Python worker keeps from task to task: made once per process."""
     store = sys.modules.setdefault("_seqforge_worker", types.ModuleType("_seqforge_worker")).__dict__

@@ -165,7 +165,7 @@ def verified(pairs: DataFrame) -> DataFrame:
     rows = rows.withColumns({"_a": characters("_a"), "_b": characters("_b")})
     rows = rows.withColumn("_r", automaton(F.col("_a"), F.col("_b")))
     rows = rows.withColumn("edits", edits_of("_r", F.size("_a") - F.size("_b")))
-    return rows.where(F.col("edits") <= limit).drop("_n", "_m", "_a", "_b", "_r")
+    return common.filtered(rows, F.col("edits") <= limit).drop("_n", "_m", "_a", "_b", "_r")
 
 
 def near_pairs(docs: DataFrame, distinct: DataFrame) -> DataFrame:

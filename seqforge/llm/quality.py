@@ -144,7 +144,11 @@ def judge(signals: DataFrame, limits: DataFrame) -> DataFrame:
     return judged.drop(*[f"{rule}_cutoff" for rule in RULES])
 
 
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def holdout_signals(docs: DataFrame, text: str = "text") -> DataFrame:
     """The narrow columns that calibration needs, kept."""
-    hashed = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
+    hashed = docs.select("doc_id", F.col(text).alias("text"), text_hash(text).alias("text_hash"))
     return common.cut(with_signals(hashed).drop("text"))
