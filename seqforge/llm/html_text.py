@@ -195,7 +195,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     found = common.sized(templates(pages, min_pages, min_share), 100_000)
-    rows = with_host(pages).select("page_id", "url", "html", "host").join(found, "host", "left").select("page_id", "url", "html", "template")
+    rows = with_host(pages).select("page_id", "url", "html", "host").join(found, "host", "left").select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "template")
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -208,4 +208,5 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
                 texts.append("\n".join(parse(h, known[key])[0]))
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return rows.mapInPandas(task, "page_id long, url string, text string, n_chars long")
+    texts = rows.mapInPandas(task, "page_id string, url string, text string, n_chars long")
+    return texts.withColumn("page_id", F.col("page_id").cast("long"))

@@ -137,4 +137,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 rejected.append(bool(1 - cosine[k] > model.reach[k]))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": names, "score": scores, "rejected": rejected})
 
-    return docs.select("doc_id", "text").mapInPandas(task, "doc_id long, lang_pred string, score double, rejected boolean")
+    found = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(task, "doc_id string, lang_pred string, score double, rejected boolean")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -25,10 +25,11 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 #: Sequences numbered within a partition.
 PER_PARTITION = 1 << 40
 SEPARATORS, SPACES = re.compile("[\x1c-\x1f]"), re.compile("[^\\S\x1c-\x1f]+")
@@ -195,16 +196,15 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits
         packer.flush()
         yield frame(packer.taken())
 
-    return docs.selectExpr(f"{key} AS key", f"{text} AS text").mapInPandas(task, PIECES)
+    pieces = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInPandas(task, PIECES)
+    return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack_turns(turns: DataFrame, tokenizer_path: str, end_id: int = 2, limits: Limits = Limits()) -> DataFrame:
     """Pieces of instruction data (conv_id, turn, role, text): loss falls on the assistant's tokens only. doc_id is conv_id."""
-    from pyspark.sql import functions as F
-
     turn = F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    whole = whole.select(F.col("conv_id").alias("key"), F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
+    whole = whole.select(F.col("conv_id").cast("string").alias("key"), F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, packer = _encoder(tokenizer_path), Packer(limits, TaskContext.get().partitionId() * PER_PARTITION)
@@ -217,10 +217,9 @@ def pack_turns(turns: DataFrame, tokenizer_path: str, end_id: int = 2, limits: L
         packer.flush()
         yield frame(packer.taken())
 
-    return whole.mapInPandas(task, PIECES)
+    return whole.mapInPandas(task, PIECES).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def frame(rows: list[tuple]) -> pd.DataFrame:
     names = [c.split()[0] for c in PIECES.split(", ")]
-    data = pd.DataFrame(rows, columns=names)
-    return data.astype({c: "Int64" if c == "doc_id" else "int64" for c in names})
+    return pd.DataFrame(rows, columns=names).astype({c: "int64" for c in names[1:]})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard, language, line_dedup, packing, quality, sql_quality, token_counts, toxicity, warc
+from . import decontaminate, html_text, jaccard, language, line_dedup, packing, quality, sql_pairs, sql_quality, token_counts, toxicity, warc
 from .common import table
 
 #: Vocabulary files of public tokenizers.
@@ -87,4 +87,4 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_html_extraction": op10_html_extraction,
 }
-ORACLES = {"op8_quality_rules": sql_quality.ORACLE}
+ORACLES = {"op2_warc": sql_pairs.WARC, "op6_ngram_jaccard_join": sql_pairs.JACCARD, "op8_quality_rules": sql_quality.ORACLE}

@@ -107,6 +107,6 @@ def count_tokens(docs: DataFrame, model_path: str, key: str = "doc_id", text: st
                 n_tokens.append(sum(trie.count(WORD_MARK + w) for w in words))
             yield pd.DataFrame({"key": batch["key"], "n_pretokens": n_words, "n_tokens": n_tokens})
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = docs.schema[key].dataType.simpleString()
-    return rows.mapInPandas(task, f"key {kind}, n_pretokens long, n_tokens long").withColumnRenamed("key", key)
+    rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+    counted = rows.mapInPandas(task, "key string, n_pretokens long, n_tokens long")
+    return counted.select(F.col("key").cast(docs.schema[key].dataType).alias(key), "n_pretokens", "n_tokens")
