@@ -47,61 +47,68 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.withColumn("id", F.xxhash64("line"))
 
 
-def _keys() -> dict[str, Column]:
-    """Keys of ``line`` of length ``len``: i* of its own segments, p* of other substrings to look up. Null where its length needs none."""
-
-    def key(edits: int, less: int, segment: int, shift: int) -> Column:
-        n = F.col("len") - less  # length of the indexed line
-        start = F.floor(n * segment / (edits + 1)).cast("int")
-        end = F.floor(n * (segment + 1) / (edits + 1)).cast("int")
-        return F.when(allowed_edits(n) == edits, F.xxhash64(n, F.lit(segment), F.substring("line", start + 1 + shift, end - start)))
-
-    keys = {}
+def _places() -> list[tuple[int, int, int, int, bool]]:
+    """Where a line may hold a segment of an indexed line: the indexed line's edits, by how much it is shorter, the segment, its shift, and whether the place is the line's own segment."""
+    places = []
     for edits in range(1, MAX_EDITS + 1):
         for less in range(edits + 1):
             for segment in range(edits + 1):
                 spare = edits - segment  # edits that may follow the segment; ``segment`` of them may precede it
                 for shift in range(max(-segment, less - spare), min(segment, less + spare) + 1):
-                    own = less == 0 and shift == 0
-                    keys[f"{'i' if own else 'p'}{len(keys)}"] = key(edits, less, segment, shift)
-    return keys
+                    places.append((edits, less, segment, shift, less == 0 and shift == 0))
+    return places
+
+
+def _keys() -> Column:
+    """Array of the keys of ``line`` of length ``len`` at each place; null where the indexed line would allow another number of edits."""
+    names = ("edits", "less", "segment", "shift")
+    places = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, p, strict=False)]) for p in _places()])
+
+    def key(p: Column) -> Column:
+        n = F.col("len") - p["less"]
+        start = F.floor(n * p["segment"] / (p["edits"] + 1)).cast("int")
+        end = F.floor(n * (p["segment"] + 1) / (p["edits"] + 1)).cast("int")
+        return F.when(allowed_edits(n) == p["edits"], F.xxhash64(n, p["segment"], F.substring("line", start + 1 + p["shift"], end - start)))
+
+    return F.transform(places, key)
+
+
+def _signature() -> Column:
+    """Counts of the letters modulo 32, five bits each, below the length modulo 16."""
+    count = lambda c: (F.octet_length("line") - F.octet_length(F.replace(F.col("line"), c, F.lit("")))).cast("long").bitwiseAND(F.lit(31))
+    counts = F.aggregate(F.array(*map(F.lit, LETTERS)), F.lit(0).cast("long"), lambda a, c: a * 32 + count(c))
+    return counts.bitwiseOR(F.shiftleft((F.col("len") % 16).cast("long"), 60))
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """id, first_doc, first_pos, n (occurrences), sig (letter counts) and the keys of every distinct line; stored."""
-    counts = [F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(c), F.lit(""))) for c in LETTERS]
-    fields = [F.shiftleft(c.cast("long").bitwiseAND(F.lit(31)), 5 * k) for k, c in enumerate(counts)]
-    rows = _lines(docs).withColumns({"len": F.length("line"), "sig": reduce(lambda a, b: a.bitwiseOR(b), fields)})
-    keys = _keys()
-    grouped = (
-        rows.withColumns(keys)
-        .groupBy("id")
-        .agg(
-            F.min("doc_id").alias("first_doc"),
-            F.min("pos").alias("first_pos"),
-            F.count("*").alias("n"),
-            F.any_value("sig").alias("sig"),
-            *[F.any_value(k).alias(k) for k in keys],
-        )
-    )
+    """id, first_doc, first_pos, n (occurrences), sig and the keys k0, k1, ... of every distinct line; stored.
+
+    Keys and signature are array expressions: as columns of their own they make generated code that is too long to be compiled.
+    """
+    rows = _lines(docs).withColumn("len", F.length("line")).withColumns({"keys": _keys(), "sig": _signature()})
+    keys = [F.any_value(F.get("keys", i)).alias(f"k{i}") for i in range(len(_places()))]
+    grouped = rows.groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.min("pos").alias("first_pos"), F.count("*").alias("n"), F.any_value("sig").alias("sig"), *keys)
     return common.stored(grouped)
 
 
 def candidate_pairs(distinct: DataFrame) -> DataFrame:
-    """a, b: ids of distinct lines that share a segment and nearly the same letters; kept."""
-    keys = list(_keys())
-    own = [k for k in keys if k[0] == "i"]
+    """a, b: ids of distinct lines that share a segment and nearly the same letters; kept.
+
+    With e edits of which d change the length, letter counts differ by at most 2 e - d.
+    """
+    own = [f"k{i}" for i, p in enumerate(_places()) if p[-1]]
     flat = lambda names: distinct.select("id", "sig", F.explode(F.array_compact(F.array(*names))).alias("key"))
-    probe, index = flat(keys).toDF("a", "sig_a", "key"), flat(own).toDF("b", "sig_b", "key")
+    probe, index = flat([f"k{i}" for i in range(len(_places()))]).toDF("a", "sig_a", "key"), flat(own).toDF("b", "sig_b", "key")
 
     def apart(k: int) -> Column:
         five = [F.shiftright(c, 5 * k).bitwiseAND(F.lit(31)) for c in ("sig_a", "sig_b")]
         d = F.abs(five[0] - five[1])
         return F.least(d, 32 - d)
 
-    near = reduce(lambda x, y: x + y, [apart(k) for k in range(len(LETTERS))]) <= 2 * MAX_EDITS
-    met = probe.join(index, (probe.key == index.key) & (F.col("a") != F.col("b")) & near)
-    return common.cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    longer = (F.shiftright("sig_a", 60) - F.shiftright("sig_b", 60)).bitwiseAND(F.lit(15))  # by how much a is longer
+    near = reduce(lambda x, y: x + y, [apart(k) for k in range(len(LETTERS))]) + longer <= 2 * MAX_EDITS
+    met = probe.join(index, (probe.key == index.key) & ((longer > 0) | (F.col("a") > F.col("b"))) & near)
+    return common.cut(met.select("a", "b").distinct())
 
 
 def _common_prefix(a: Column, b: Column) -> Column:
