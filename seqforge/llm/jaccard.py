@@ -12,7 +12,7 @@ split again; what is still large at the last level is compared block by block, s
 dropped. Runs repeat until the expected recall of a pair at the threshold, given the depth
 that paths reached, is at least the target.
 
-In a bucket, signatures are compared first. Classes that may be linked form clusters; equal
+In a bucket, sketches of a byte per token are compared first. Classes that may be linked form clusters; equal
 clusters of different runs are verified once, with the exact sets. Links leave a task packed
 per class, never as pairs, and with a spanning forest, from which connected groups follow by
 alternating star contraction.
@@ -38,7 +38,7 @@ from . import common
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.995
 TOKENS = 128
 #: Classes of a bucket that are compared by brute force; levels of a path.
-SMALL, LEVELS = 256, 6
+SMALL, LEVELS = 1024, 6
 #: Shared tokens below the expected number that still send a pair to verification, in standard deviations.
 SLACK = 4.5
 #: Words hashed at a time, and shingles of which minima are taken at a time.
@@ -102,7 +102,7 @@ def _set_id(tokens: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, set_id, sig of the documents with a word."""
+    """doc_id, set_id, sig and sketch (the low bytes of sig) of the documents with a word."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -110,10 +110,11 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
             for ids, texts in _text_chunks(batch):
                 for d, tokens in zip(ids, shingle_sets(texts, words), strict=True):
                     if len(tokens):
-                        rows.append((d, _set_id(tokens), signature(tokens).tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "set_id", "sig"])
+                        sig = signature(tokens)
+                        rows.append((d, _set_id(tokens), sig.tobytes(), sig.astype(np.uint8).tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "set_id", "sig", "sketch"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(task, "doc_id long, set_id long, sig binary")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(task, "doc_id long, set_id long, sig binary, sketch binary")
 
 
 def token_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -239,14 +240,14 @@ def _roots(n: int, links: np.ndarray) -> np.ndarray:
 
 
 def clusters(found: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """cluster, set_id: classes of a bucket connected by signatures that may belong to linked sets. Equal clusters are one."""
+    """cluster, set_id: classes of a bucket connected by sketches that may belong to linked sets. Equal clusters are one."""
     least = TOKENS * threshold - SLACK * math.sqrt(TOKENS * threshold * (1 - threshold))
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         for group in _groups(batches, "path"):
             ids = group["set_id"]
-            sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint32).reshape(-1, TOKENS)
+            sig = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint8).reshape(-1, TOKENS)
             if len(ids) == 2:
                 if ids[0] != ids[1] and (sig[0] == sig[1]).sum() >= least:
                     out += [(_cluster_id(ids), i) for i in ids.tolist()]
@@ -264,8 +265,8 @@ def clusters(found: DataFrame, classes: DataFrame, threshold: float) -> DataFram
                 out = []
         yield pd.DataFrame(out, columns=["cluster", "set_id"])
 
-    rows = found.join(classes.select("set_id", "sig"), "set_id").repartition("path").sortWithinPartitions("path")
-    return rows.select("path", "set_id", "sig").mapInPandas(task, "cluster long, set_id long").distinct()
+    rows = found.join(classes.select("set_id", "sketch"), "set_id").repartition("path").sortWithinPartitions("path")
+    return rows.select("path", "set_id", "sketch").mapInPandas(task, "cluster long, set_id long").distinct()
 
 
 def _cluster_id(members: np.ndarray) -> int:
@@ -345,7 +346,7 @@ def components(edges: DataFrame) -> DataFrame:
 def join_similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its connected group), set_id (smallest doc_id of equal sets), n_links (other sets linked to its set)."""
     every = common.stored(signatures(docs, words))
-    classes = every.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("sig").alias("sig"))
+    classes = every.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("sig").alias("sig"), F.max("sketch").alias("sketch"))
     classes = common.stored(classes)
     runs = runs_for(2, threshold, recall)
     found, depth = buckets(classes, 0, runs, threshold)
