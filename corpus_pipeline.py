@@ -13,15 +13,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the base rules and the risk-controlled cutoffs keep."""
     signals = quality.holdout_signals(docs)
     judged = quality.judge(signals, quality.cutoffs(signals, common.table(spark, sf_dir, "labels")))
-    rejected = common.cut(judged.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (quality.text_hash("text") == F.col("_hash"))
+    rejected = common.cut(judged.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (quality.text_hash("text") == F.col("__hash"))
     return docs.join(common.sized(rejected), same, "left_anti").select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that occur before; those of which nothing is left go."""
-    done = line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
-    left = common.filtered(done, F.expr("n_dropped = 0 OR text IS NULL OR text RLIKE '\\\\S'"))
+    done = line_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+    left = common.filtered(done, F.expr("__n_dropped = 0 OR text IS NULL OR text RLIKE '\\\\S'"))
     return left.select(*docs.columns)
 
 

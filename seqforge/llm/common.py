@@ -47,7 +47,7 @@ def sized(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
 
 def filtered(df: DataFrame, condition: Column) -> DataFrame:
     """``df.where(condition)`` over costly columns: the filter stays above the projection, which pushing it down would evaluate again inside it."""
-    return df.withColumn("_row", F.monotonically_increasing_id()).where(condition & (F.col("_row") >= 0)).drop("_row")
+    return df.withColumn("__row", F.monotonically_increasing_id()).where(condition & (F.col("__row") >= 0)).drop("__row")
 
 
 def worker_state(name: str, make: Callable[[], object]) -> object:

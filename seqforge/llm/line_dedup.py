@@ -201,18 +201,24 @@ def dropped_positions(docs: DataFrame) -> DataFrame:
     return common.cut(rows.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("drops")))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with the duplicate lines taken out of ``text``; adds n_lines and n_dropped."""
-    drops = dropped_positions(docs)
-    total = drops.agg(F.sum(F.size("drops"))).first()[0] or 0
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with the duplicate lines taken out of ``text``; adds __n_lines and __n_dropped."""
+    drops = dropped_positions(docs).withColumnRenamed("drops", "__drops")
+    total = drops.agg(F.sum(F.size("__drops"))).first()[0] or 0
     marked = docs.join(F.broadcast(drops) if total <= MAX_POSITIONS else drops, "doc_id", "left")
-    marked = marked.withColumn("_lines", F.split("text", "\n"))
+    marked = marked.withColumn("__lines", F.split("text", "\n"))
     # places of equal lines of one document, in order of their hash: all but the first repeat
-    placed = F.sort_array(F.filter(F.transform("_lines", lambda x, i: F.when(F.length(x) >= MIN_CHARS, F.struct(F.xxhash64(x).alias("h"), i.alias("i")))), lambda s: s.isNotNull()))
-    marked = marked.withColumn("_placed", placed)
-    repeats = F.transform("_placed", lambda s, j: F.when(s["h"] == F.get(F.col("_placed"), j - 1)["h"], s["i"]))
-    gone = F.array_union(F.coalesce("drops", F.array().cast("array<int>")), F.array_compact(repeats))
-    marked = marked.withColumn("_kept", F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), gone))
-    text = F.array_join(F.transform("_kept", lambda i: F.get(F.col("_lines"), i)), "\n")
-    out = {"text": text, "n_lines": F.size("_lines").cast("long"), "n_dropped": (F.size("_lines") - F.size("_kept")).cast("long")}
-    return marked.withColumns({c: F.when(F.col("text").isNotNull(), e) for c, e in out.items()}).drop("drops", "_lines", "_placed", "_kept")
+    placed = F.sort_array(F.filter(F.transform("__lines", lambda x, i: F.when(F.length(x) >= MIN_CHARS, F.struct(F.xxhash64(x).alias("h"), i.alias("i")))), lambda s: s.isNotNull()))
+    marked = marked.withColumn("__placed", placed)
+    repeats = F.transform("__placed", lambda s, j: F.when(s["h"] == F.get(F.col("__placed"), j - 1)["h"], s["i"]))
+    gone = F.array_union(F.coalesce("__drops", F.array().cast("array<int>")), F.array_compact(repeats))
+    marked = marked.withColumn("__kept", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), gone))
+    text = F.array_join(F.transform("__kept", lambda i: F.get(F.col("__lines"), i)), "\n")
+    out = {"text": text, "__n_lines": F.size("__lines").cast("long"), "__n_dropped": (F.size("__lines") - F.size("__kept")).cast("long")}
+    return marked.withColumns({c: F.when(F.col("text").isNotNull(), e) for c, e in out.items()}).drop("__drops", "__lines", "__placed", "__kept")
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` without duplicate lines, with n_lines and n_dropped (which replace columns of these names)."""
+    done = without_repeats(docs)
+    return done.withColumns({"n_lines": F.col("__n_lines"), "n_dropped": F.col("__n_dropped")}).drop("__n_lines", "__n_dropped")

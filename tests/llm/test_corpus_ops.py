@@ -211,3 +211,19 @@ def test_pipeline_stages_match_plain_versions(spark):
     pieces = corpus_pipeline.packed(spark, frame, SF).toPandas()
     assert set(pieces["doc_id"]) == set(range(len(texts))) and (pieces.groupby("doc_id")["length"].sum() == pieces.groupby("doc_id")["doc_tokens"].first()).all()
     assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup_stage", "near_duplicates", "decontamination", "packed"]
+
+
+def test_stages_with_clashing_and_null_columns(spark):
+    from pyspark.sql import functions as F
+
+    line = "a line of more than thirty characters to keep once only"
+    frame = docs(spark, [line + " and some more words here", line + "\n" + line, None, ""], [1, 2, 3, None])
+    names = "id line pos len sig keys drops n_dropped stratum kept rep set_id path cluster word n text_hash quality item_id _row _id".split()
+    frame = frame.withColumns({c: F.lit(None).cast("string") if c < "n" else F.lit(7) for c in names})
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.line_dedup_stage, corpus_pipeline.near_duplicates, corpus_pipeline.decontamination):
+        for table in (frame, frame.limit(0)):
+            out = stage(spark, table, SF)
+            assert out.columns == frame.columns
+            assert all(r.stratum == 7 and r.n_dropped == 7 for r in out.collect())
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, frame, SF).collect()}[2] == line
+    assert corpus_pipeline.packed(spark, frame, SF).count() == 4
