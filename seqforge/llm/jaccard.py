@@ -38,7 +38,7 @@ from . import common
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.995
 TOKENS = 128
 #: Classes of a bucket that are compared by brute force; levels of a path.
-SMALL, LEVELS = 1024, 6
+SMALL, LEVELS = 4096, 6
 #: Shared tokens below the expected number that still send a pair to verification, in standard deviations.
 SLACK = 4.5
 #: Words hashed at a time, and shingles of which minima are taken at a time.
@@ -348,7 +348,7 @@ def join_similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     every = common.stored(signatures(docs, words))
     classes = every.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("sig").alias("sig"), F.max("sketch").alias("sketch"))
     classes = common.stored(classes)
-    runs = runs_for(2, threshold, recall)
+    runs = runs_for(1, threshold, recall)
     found, depth = buckets(classes, 0, runs, threshold)
     if (needed := runs_for(depth, threshold, recall)) > runs:
         more, _ = buckets(classes, runs, needed - runs, threshold)
