@@ -15,6 +15,7 @@ that the limit on segments or loss-bearing tokens closes early is padded.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -36,7 +37,7 @@ SEPARATORS, SPACES = re.compile("[\x1c-\x1f]"), re.compile("[^\\S\x1c-\x1f]+")
 #: Marks that the word tokenizer cuts from a word of letters.
 MARKS = ".,;:!?"
 #: Chunks whose ids a worker remembers before it starts anew; documents tokenised at a time.
-MAX_CHUNKS, AT_ONCE = 800_000, 256
+MAX_CHUNKS, AT_ONCE = 1_200_000, 256
 
 
 @dataclass(frozen=True)
@@ -149,6 +150,7 @@ class WordIds:
     """texts -> ids, for a tokenizer that lower-cases and drops white space: each chunk between spaces is tokenised once and remembered."""
 
     def __init__(self, tokenizer_path: str, max_chunks: int = MAX_CHUNKS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.max_chunks = Tokenizer.from_file(tokenizer_path), max_chunks
