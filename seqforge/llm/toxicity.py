@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -85,10 +85,10 @@ def features(text: str | None, words: dict[str, int], stems: dict[str, int]) ->
 def lexicons(texts: list[str], toxic: np.ndarray) -> tuple[dict[str, int], dict[str, int]]:
     """Known insults and over-represented words, and over-represented word starts, dealt into groups by falling frequency."""
 
-    def learn(bags: list[set[str]], known: list[str]) -> dict[str, int]:
+    def learn(bag_of: Callable[[str], set[str]], known: list[str]) -> dict[str, int]:
         inside, outside = Counter(), Counter()
-        for bag, t in zip(bags, toxic, strict=True):
-            (inside if t else outside).update(bag)
+        for text, t in zip(texts, toxic, strict=True):
+            (inside if t else outside).update(bag_of(text))
         base = min(0.999, toxic.mean())
         limit = math.log(MAX_CHANCE / max(1, len(inside.keys() | outside.keys())))
 
@@ -101,8 +101,8 @@ def lexicons(texts: list[str], toxic: np.ndarray) -> tuple[dict[str, int], dict[
         kept = {w for w, c in inside.items() if odd(w, c)}.union(known)
         return {w: i % GROUPS for i, w in enumerate(sorted(kept, key=lambda w: (-inside[w], w)))}
 
-    words = [set(WORD.findall(t.lower())) for t in texts]
-    return learn(words, INSULTS), learn([{w[:STEM_CHARS] for w in bag if len(w) > STEM_CHARS} for bag in words], [])
+    words = lambda t: set(WORD.findall(t.lower()))
+    return learn(words, INSULTS), learn(lambda t: {w[:STEM_CHARS] for w in words(t) if len(w) > STEM_CHARS}, [])
 
 
 def cliques(votes: np.ndarray, belief: np.ndarray, limit: float = 0.3) -> np.ndarray:
