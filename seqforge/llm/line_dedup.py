@@ -1,6 +1,7 @@
 """Line deduplication by a segment-partition edit join, in built-in functions only.
 
-Lines of at least ``MIN_CHARS`` characters are compared over all documents; two are near
+All lines of at least ``MIN_CHARS`` characters, that is all but empty ones, are compared over
+all documents. Equal lines of any length are duplicates; two different lines are near
 duplicates if their edit distance is at most the number of edits that the shorter one's
 length allows. A line of length l that allows t edits is cut into t + 1 segments, of which
 one survives t edits unchanged; so every line looks up, for each length from its own down to
@@ -15,7 +16,7 @@ the smallest doc_id that holds them, then their smallest position, then their ha
 document the first of equal lines stays. Equal lines are counted before anything is joined,
 so a line that fills a third of the table is one row of the join.
 
-Defined results: null texts stay null; shorter lines always stay; a document whose lines all
+Defined results: null texts stay null; empty lines always stay; a document whose lines all
 go gets an empty text; rows that share a doc_id count as one document, and rows of null
 doc_id lose only lines that repeat within them; other columns pass through.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MIN_CHARS, MAX_EDITS, CHARS_PER_EDIT = 30, 2, 40
+MIN_CHARS, MAX_EDITS, CHARS_PER_EDIT = 1, 2, 40
 #: Letters whose counts form the signature of a line, five bits each.
 LETTERS = "etaonirshdlu"
 #: Positions of dropped lines that are broadcast at most, with their documents.

@@ -93,6 +93,11 @@ def test_line_dedup_of_very_long_texts(spark):
     assert got[0] == line and got[1] == "" and len(got[2]) == 79015
 
 
+def test_short_repeated_lines_go(spark):
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.dedup_lines(docs(spark, ["Share this\n\na first line", "Share this\n\nx\nx", "Share thus\nx"])).collect()}
+    assert got == {0: ("Share this\n\na first line", 0), 1: ("\nx", 2), 2: ("Share thus", 1)}
+
+
 def test_every_near_pair_is_a_candidate(spark):
     rng = random.Random(9)
     lines = sorted({x for x in noisy_lines(rng, 80) if len(x) >= line_dedup.MIN_CHARS})
