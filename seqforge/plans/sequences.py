@@ -256,7 +256,7 @@ SELECT seq, window_no, o AS "offset", window_no + o + 1 AS frame_no FROM w, rang
 
 
 def tile_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of three frames times the four tiles of an 8 x 8 image: pixel sums of each tile."""
+    """Windows of three frames times the four tiles of an 8 x 8 image: pixel sums of each tile. Only sequences with seq % 3 = 0, as in its SQL."""
     frames = adapters.embedding_frames(spark, sf_dir).where("seq % 3 = 0")
     grid = tiling.grid(spark.createDataFrame([(8, 8)], "width int, height int"), 4, 4).select("x", "y", "tile_idx")
     placed = tiling.windows(frames.select("seq", "frame_no"), "seq", "frame_no", 3).crossJoin(F.broadcast(grid))
