@@ -317,6 +317,30 @@ def test_leaks_found_and_clean_documents_left(spark):
     assert decontaminate.leaks(empty(spark), bench).count() == 0
 
 
+def test_short_items_are_all_found(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8))) for _ in range(6000)]
+    text = lambda n: [rng.choice(vocabulary[: rng.choice([60, 6000])]) for _ in range(n)]
+    texts = [text(300) for _ in range(400)]
+    items, planted, exact = [], set(), set()
+    for k in range(2000):
+        d, n = rng.randrange(400), rng.randrange(5, 21)
+        at = rng.randrange(300 - n)
+        words = texts[d][at : at + n]
+        if k % 2:  # every third word replaced
+            words = [rng.choice(vocabulary) if j % 3 == 2 else w for j, w in enumerate(words)]
+        else:
+            exact.add((d, k))
+        items.append(" ".join(words)), planted.add((d, k))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, [" ".join(t) for t in texts]), bench).collect()}
+    assert exact <= found and planted <= found
+    # brute force: every run of a document against every item
+    for k in range(0, 2000, 100):
+        (p,) = decontaminate.pieces_of(pd.DataFrame({"item_id": [k], "text": [items[k]], "answer": [None]}))
+        assert {d for d, t in enumerate(texts) if decontaminate.close_copy(p, decontaminate.masks_of(p), t, 0.6)} <= {d for d, i in found if i == k}
+
+
 def test_answers_must_occur(spark):
     words = [f"w{i}" for i in range(60)]
     bench = spark.createDataFrame([(1, " ".join(words[:30]), "w40 w41"), (2, " ".join(words[:30]), "nowhere")], "item_id long, text string, answer string")
