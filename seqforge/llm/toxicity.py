@@ -11,7 +11,8 @@ maximisation over the votes, starting from the lexicons' precision. A logistic r
 the texts' lexicon and pattern features is fitted to the posterior labels and scores every
 whole text.
 
-The fit reads at most ``sample`` rows of each label; scoring reads everything and shuffles nothing.
+The fit reads at most ``sample`` rows of each label, each weighted by the rows of its label that
+it stands for, so that the class mix is that of all labelled rows at every size; scoring reads everything and shuffles nothing.
 
 Defined results: null and empty texts get the score of a text without any feature; repeated
 rows get equal scores; without toxic labels every score is 0. Extra columns pass unread.
@@ -82,7 +83,7 @@ def features(text: str | None, words: dict[str, int], stems: dict[str, int]) ->
     return found
 
 
-def lexicons(texts: list[str], toxic: np.ndarray) -> tuple[dict[str, int], dict[str, int]]:
+def lexicons(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> tuple[dict[str, int], dict[str, int]]:
     """Known insults and over-represented words, and over-represented word starts, dealt into groups by falling frequency."""
 
     def learn(bag_of: Callable[[str], set[str]], known: list[str]) -> dict[str, int]:
@@ -90,13 +91,17 @@ def lexicons(texts: list[str], toxic: np.ndarray) -> tuple[dict[str, int], dict[
         for text, t in zip(texts, toxic, strict=True):
             (inside if t else outside).update(bag_of(text))
         base = min(0.999, toxic.mean())
+        # chance is that of the sample; the ratio is that of all labelled rows
+        true_base = min(0.999, float(np.average(toxic, weights=weight)))
+        of_toxic, of_clean = weight[toxic].mean(), weight[~toxic].mean() if not toxic.all() else 1.0
         limit = math.log(MAX_CHANCE / max(1, len(inside.keys() | outside.keys())))
 
         def odd(w: str, c: int) -> bool:
             n = c + outside[w]
             share = c / n
             divergence = share * math.log(share / base) + ((1 - share) * math.log((1 - share) / (1 - base)) if share < 1 else 0.0)
-            return share >= min(MIN_RATIO * base, (1 + base) / 2) and -n * divergence <= limit
+            true_share = c * of_toxic / (c * of_toxic + outside[w] * of_clean)
+            return share > base and true_share >= min(MIN_RATIO * true_base, (1 + true_base) / 2) and -n * divergence <= limit
 
         kept = {w for w, c in inside.items() if odd(w, c)}.union(known)
         return {w: i % GROUPS for i, w in enumerate(sorted(kept, key=lambda w: (-inside[w], w)))}
@@ -105,10 +110,10 @@ def lexicons(texts: list[str], toxic: np.ndarray) -> tuple[dict[str, int], dict[
     return learn(words, INSULTS), learn(lambda t: {w[:STEM_CHARS] for w in words(t) if len(w) > STEM_CHARS}, [])
 
 
-def cliques(votes: np.ndarray, belief: np.ndarray, limit: float = 0.3) -> np.ndarray:
+def cliques(votes: np.ndarray, belief: np.ndarray, limit: float = 0.3, rows: np.ndarray | float = 1.0) -> np.ndarray:
     """A clique number for each voter: voters whose votes correlate within the believed classes share one."""
     centred = np.zeros(votes.shape)
-    for weight in (belief, 1 - belief):
+    for weight in (belief * rows, (1 - belief) * rows):
         mean = (weight[:, None] * votes).sum(0) / max(weight.sum(), 1e-9)
         centred += weight[:, None] * (votes - mean)
     scale = np.sqrt((centred**2).sum(0)) + 1e-9
@@ -121,15 +126,16 @@ def cliques(votes: np.ndarray, belief: np.ndarray, limit: float = 0.3) -> np.nda
     return clique
 
 
-def label_model(votes: np.ndarray, belief: np.ndarray, rounds: int = 50) -> np.ndarray:
+def label_model(votes: np.ndarray, belief: np.ndarray, rounds: int = 50, weight: np.ndarray | None = None) -> np.ndarray:
     """Posterior of the hidden label, by expectation maximisation from ``belief``; a clique's log-odds are averaged."""
     votes = votes.astype(float)
-    clique = cliques(votes, belief)
+    weight = np.ones(len(votes)) if weight is None else weight
+    clique = cliques(votes, belief, rows=weight)
     share = 1.0 / np.bincount(clique, minlength=votes.shape[1])[clique]
     for _ in range(rounds):
-        rate = [((w[:, None] * votes).sum(0) + 0.5) / (w.sum() + 1.0) for w in (belief, 1 - belief)]
+        rate = [((w[:, None] * votes).sum(0) + 0.5) / (w.sum() + 1.0) for w in (belief * weight, (1 - belief) * weight)]
         rate[0] = np.maximum(rate[0], rate[1])  # a voter never speaks against toxicity
-        prior = (belief.sum() + 0.5) / (len(belief) + 1.0)
+        prior = ((belief * weight).sum() + 0.5) / (weight.sum() + 1.0)
         odds = math.log(prior / (1 - prior)) + votes @ (share * np.log(rate[0] / rate[1])) + (1 - votes) @ (share * np.log((1 - rate[0]) / (1 - rate[1])))
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         if np.abs(new - belief).max() < 1e-6:
@@ -138,16 +144,17 @@ def label_model(votes: np.ndarray, belief: np.ndarray, rounds: int = 50) -> np.n
     return belief
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Newton's method on soft labels."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
+    weight = np.ones(len(x)) if weight is None else weight
     w = np.zeros(x1.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-4
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        gradient = x1.T @ (p - y) + penalty * w
-        hessian = (x1 * (p * (1 - p))[:, None]).T @ x1 + np.diag(penalty)
+        gradient = x1.T @ (weight * (p - y)) + penalty * w
+        hessian = (x1 * (weight * p * (1 - p))[:, None]).T @ x1 + np.diag(penalty)
         step = np.linalg.solve(hessian, gradient)
         w -= step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-6:
@@ -155,27 +162,30 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40
     return w[:-1], float(w[-1])
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> Model:
-    """On a sample that the caller has bounded."""
+def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray | None = None) -> Model:
+    """On a sample that the caller has bounded; ``weight``: labelled rows that each row stands for."""
     toxic = toxic.astype(bool)
     if not toxic.any():
         return Model()
-    words, stems = lexicons(texts, toxic)
+    weight = np.ones(len(texts)) if weight is None else weight * (len(texts) / weight.sum())
+    words, stems = lexicons(texts, toxic, weight)
     x = np.array([features(t, words, stems) for t in texts])
     votes = (x > 0) & (np.arange(x.shape[1]) < 2 * GROUPS + 1)
     votes = np.hstack([votes, (x[:, -2:] > 0.5) & votes.any(1)[:, None]])
     start = np.where(votes.any(1), 0.9, 0.02)
-    weights, intercept = logistic(x, label_model(votes, start))
+    weights, intercept = logistic(x, label_model(votes, start, weight=weight), weight=weight)
     return Model(words, stems, weights, intercept)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """At most ``sample`` texts of each label, by hash order, among the rows that ``learn`` marks."""
+def training_sample(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """At most ``sample`` texts of each label, by hash order, among the rows that ``learn`` marks; their labels and weights."""
     marked = labels.where("toxic IS NOT NULL").where(learn).select("doc_id", (F.col("toxic") == 1).alias("toxic")).dropDuplicates(["doc_id"])
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = marked.where("toxic").orderBy(*order).limit(sample).unionByName(marked.where("NOT toxic").orderBy(*order).limit(sample))
     rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toPandas()
-    return rows["text"].tolist(), rows["toxic"].to_numpy(dtype=bool)
+    toxic = rows["toxic"].to_numpy(dtype=bool)
+    stands_for = {x["toxic"]: x["count"] / min(x["count"], sample) for x in marked.groupBy("toxic").count().collect()}
+    return rows["text"].tolist(), toxic, np.array([stands_for[bool(t)] for t in toxic], dtype=float)
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from seqforge.llm import decontaminate, html_text, language, packing, quality, queries, token_counts, toxicity, warc
 
@@ -199,6 +200,16 @@ def test_toxicity_of_planted_texts(spark):
     assert all(r.score < 0.01 for r in toxicity.score_texts(docs(spark, ["x"]), toxicity.fit(["a"], np.array([False]))).collect())
 
 
+def test_toxicity_sample_keeps_the_class_mix(spark):
+    rows = docs(spark, [f"text {i}" for i in range(900)])
+    labels = spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(900)], "doc_id long, toxic int")
+    texts, toxic, weight = toxicity.training_sample(rows, labels, F.lit(True), sample=100)
+    assert len(texts) == 200 and toxic.sum() == 100
+    assert abs(np.average(toxic, weights=weight) - 1 / 9) < 1e-9
+    intercept = toxicity.logistic(np.zeros((200, 1)), toxic.astype(float), weight=weight)[1]
+    assert abs(1 / (1 + np.exp(-intercept)) - 1 / 9) < 1e-3
+
+
 def test_label_model_discounts_correlated_voters():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.3
