@@ -42,7 +42,12 @@ def stored(df: DataFrame) -> DataFrame:
 
 def sized(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """A kept (``cut``) narrow table, marked for broadcast only if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+    return broadcast_if(df, df.count(), max_rows)
+
+
+def broadcast_if(df: DataFrame, rows: int, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df``, which is known to have so many rows, marked for broadcast if they are few."""
+    return F.broadcast(df) if rows <= max_rows else df
 
 
 def filtered(df: DataFrame, condition: Column) -> DataFrame:

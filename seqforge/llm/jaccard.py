@@ -7,17 +7,22 @@ Every class has a signature of 128 minimum hashes: tokens that two sets share wi
 probability equal to their similarity. A run starts with all classes in one bucket and
 splits buckets recursively: in each bucket, one token place or two (1 / threshold on
 average) are sampled by a hash of the path so far, and classes with equal tokens there stay
-together. Buckets of one class end, small ones are compared by brute force, larger ones are
-split again; what is still large at the last level is compared block by block, so nothing is
-dropped. Runs repeat until the expected recall of a pair at the threshold, given the depth
-that paths reached, is at least the target.
-
-In a bucket, sketches of a byte per token are compared first. Classes that may be linked form clusters; equal
-clusters of different runs are verified once, with the exact sets. Links leave a task packed
-per class, never as pairs, and with a spanning forest, from which connected groups follow by
-alternating star contraction.
-
-Defined results: a text of one to four words is one shingle; null and empty texts and null
+together. Buckets of one class end and small ones are compared by brute force. In a larger
+bucket, classes whose mean similarity to the whole bucket is high are dense: splitting would part
+them slowly or never, so they are compared with all of the bucket at once, block by block; only
+the sparse rest, if there is much of it, is split again, and at the last level nothing is left over. Runs
+repeat until the expected recall of a pair at the threshold is at least the target at the
+deepest level that was reached; runs beyond those that the first level needs are made for the
+classes that went deeper only.
+
+Splitting is column arithmetic: the first level reads four bytes of a token, deeper ones a byte.
+In a bucket, sketches of a byte per token are compared first, then the exact sets (64-bit hashes
+of the shingles) of those that may be linked. A pair may meet in several buckets: the one with
+the smallest path owns it, which both classes tell from their lists of paths, so every link is
+verified and counted once. Links leave a task as a count per class and a spanning forest, never
+as pairs; connected groups follow from the forest by alternating star contraction.
+
+Defined results: a text of one to four words is one shingle; texts without a word and null
 doc_ids are linked to nothing and are groups of their own; rows that share a doc_id are
 joined by their sets; extra columns are not read.
 """
@@ -30,15 +35,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.995
 TOKENS = 128
-#: Classes of a bucket that are compared by brute force; levels of a path.
-SMALL, LEVELS = 4096, 6
+#: Classes of a bucket that are compared by brute force (a tenth of a second); levels of a path; classes of a block of a dense bucket, and the shingles of one at most (on average).
+SMALL, LEVELS, BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 6, 1024, 2_000_000
+#: A class is dense in a bucket if its mean similarity to it is above this share of the threshold, estimated from so many tokens; values rarer than RARE count as none.
+#: At half the threshold, a level more would save two thirds of the comparisons and cost as much again in runs.
+DENSE, PROBES, RARE = 0.6, 16, 0.02
+#: Buckets whose shares of values (some 10 KB each) are broadcast at most.
+MAX_SHARES = 2000
 #: Shared tokens below the expected number that still send a pair to verification, in standard deviations.
 SLACK = 4.5
 #: Words hashed at a time, and shingles of which minima are taken at a time.
@@ -102,42 +112,33 @@ def _set_id(tokens: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, set_id, sig and sketch (the low bytes of sig) of the documents with a word."""
+    """doc_id, set_id, size, sig (128 tokens of four bytes) of every row; set_id and sig are null where there is no id or no word."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for ids, texts in _text_chunks(batch):
                 for d, tokens in zip(ids, shingle_sets(texts, words), strict=True):
-                    if len(tokens):
-                        sig = signature(tokens)
-                        rows.append((d, _set_id(tokens), sig.tobytes(), sig.astype(np.uint8).tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "set_id", "sig", "sketch"])
+                    has = d is not None and len(tokens) > 0
+                    rows.append((d, str(_set_id(tokens)), len(tokens), signature(tokens).astype("<u4").tobytes()) if has else (d, None, 0, None))
+            yield pd.DataFrame(rows, columns=["doc_id", "set_id", "size", "sig"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(task, "doc_id long, set_id long, sig binary, sketch binary")
+    found = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(task, "doc_id string, set_id string, size long, sig binary")
+    return found.withColumns({c: F.col(c).cast("long") for c in ("doc_id", "set_id")})  # nullable longs would reach pandas as floats
 
 
 def token_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """set_id, size, tokens (five bytes of each hash) of the documents with a word."""
+    """set_id, tokens (eight bytes each) of the documents with a word."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for _, texts in _text_chunks(batch):
-                for tokens in shingle_sets(texts, words):
-                    if len(tokens):
-                        rows.append((_set_id(tokens), tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()))
-            yield pd.DataFrame(rows, columns=["set_id", "tokens"])
+                rows = [(_set_id(tokens), tokens.astype("<u8").tobytes()) for tokens in shingle_sets(texts, words) if len(tokens)]
+                yield pd.DataFrame(rows, columns=["set_id", "tokens"])
 
     return docs.select("doc_id", "text").mapInPandas(task, "set_id long, tokens binary")
 
 
-def _unpacked(tokens: bytes) -> np.ndarray:
-    wide = np.zeros((len(tokens) // 5, 8), dtype=np.uint8)
-    wide[:, :5] = np.frombuffer(tokens, dtype=np.uint8).reshape(-1, 5)
-    return wide.view("<u8").ravel()
-
-
 # paths
 
 
@@ -155,54 +156,83 @@ def runs_for(depth: int, threshold: float, recall: float) -> int:
     return 1 if alive >= recall else math.ceil(math.log(1 - recall) / math.log(1 - alive))
 
 
-def _split(paths: DataFrame, threshold: float) -> DataFrame:
-    """path, set_id of the next level, from path, set_id, sig."""
-    chance = 1 / threshold - 1
+def _places(run: int, threshold: float) -> list[int]:
+    """The token places that a run samples in its first bucket."""
+    first, second, u = (xxhash.xxh64_intdigest(f"{run} {k}") for k in range(3))
+    first, second = first % TOKENS, second % TOKENS
+    return [first, second] if u < (1 / threshold - 1) * 2**64 and second != first else [first]
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            sig = np.frombuffer(b"".join(batch["sig"]), dtype=np.uint32).reshape(-1, TOKENS)
-            path = batch["path"].to_numpy().view(np.uint64)
-            first = mixed(path ^ ODD)
-            second = mixed(path + ODD)
-            out_path, out_set = [], []
-            for place, taken in (((first % np.uint64(TOKENS)), np.ones(len(path), dtype=bool)), ((second % np.uint64(TOKENS)), (second >> np.uint64(40)) < np.uint64(int(chance * (1 << 24))))):
-                value = sig[np.arange(len(path)), place.astype(np.int64)].astype(np.uint64)
-                new = mixed(mixed(path * ODD + place) + value)
-                out_path.append(new[taken].view(np.int64)), out_set.append(batch["set_id"].to_numpy()[taken])
-            yield pd.DataFrame({"path": np.concatenate(out_path), "set_id": np.concatenate(out_set)})
-
-    return paths.mapInPandas(task, "path long, set_id long")
-
-
-def buckets(classes: DataFrame, first_run: int, runs: int, threshold: float) -> tuple[DataFrame, int]:
-    """path, set_id of all buckets to compare (small, or blocks of large ones at the last level); the deepest level."""
-    start = classes.select(F.explode(F.sequence(F.lit(first_run), F.lit(first_run + runs - 1))).alias("run"), "set_id", "sig")
-    rows = start.select(F.xxhash64("run").alias("path"), "set_id", "sig")
-    done, level = None, 0
+
+def _even(path: Column) -> Column:
+    """Paths are even, so that the lowest bit can mark a sparse class."""
+    return path.bitwiseAND(F.lit(-2))
+
+
+def _first_level(classes: DataFrame, runs: range, threshold: float) -> DataFrame:
+    """path, set_id from the roots (set_id, roots: four bytes for each place of each run)."""
+    places = [(run, place) for run in range(runs.stop) for place in _places(run, threshold)]
+    paths = [_even(F.xxhash64(F.lit(run), F.lit(place), F.substring("roots", 4 * at + 1, 4))) for at, (run, place) in enumerate(places) if run in runs]
+    return classes.select(F.explode(F.array(*paths)).alias("path"), "set_id")
+
+
+def _next_level(open_: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """path, set_id of the buckets that the buckets of ``open_`` (path, set_id) are split into."""
+    rows = open_.join(sketches, "set_id")
+    place = lambda k: F.pmod(F.xxhash64("path", F.lit(k)), F.lit(TOKENS)).cast("int")
+    path = lambda p: _even(F.xxhash64("path", p, F.substring(F.col("sketch"), p + 1, F.lit(1))))
+    both = (F.pmod(F.xxhash64("path", F.lit(2)), F.lit(1 << 20)) < int((1 / threshold - 1) * (1 << 20))) & (place(0) != place(1))
+    return rows.select(F.explode(F.array_compact(F.array(path(place(0)), F.when(both, path(place(1)))))).alias("path"), "set_id")
+
+
+def _dense(large: DataFrame, n_paths: int, sketches: DataFrame, threshold: float) -> DataFrame:
+    """``large`` (path, set_id, n; of ``n_paths`` buckets) with ``dense``: whether the class is near most of its bucket."""
+    probes = F.transform(F.sequence(F.lit(0), F.lit(PROBES - 1)), lambda i: (i * 256 + F.conv(F.hex(F.substring(F.col("sketch"), i * (TOKENS // PROBES) + 1, F.lit(1))), 16, 10).cast("int")).cast("int"))
+    rows = large.join(sketches, "set_id").select("path", "set_id", "n", probes.alias("probes"))
+    counted = rows.select("path", "n", F.explode("probes").alias("value")).groupBy("path", "n", "value").agg(F.count("*").alias("c")).where(F.col("c") >= RARE * F.col("n"))
+    share = F.map_from_entries(F.collect_list(F.struct("value", (F.col("c") / F.col("n")).alias("share"))))  # at most PROBES / RARE entries
+    shares = common.broadcast_if(counted.groupBy("path").agg(share.alias("share")), n_paths, MAX_SHARES)
+    mean = F.aggregate(F.transform("probes", lambda v: F.coalesce(F.try_element_at("share", v), F.lit(0.0))), F.lit(0.0), lambda a, x: a + x) / PROBES
+    return rows.join(shares, "path", "left").select("path", "set_id", "n", (mean >= DENSE * threshold).alias("dense"))
+
+
+def _run(start: DataFrame, sketches: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None, int]:
+    """Buckets to compare (path, set_id, n, dense: null in small buckets), the classes that went deeper, the deepest level."""
+    split, done, deeper, level = start, None, None, 1
     while True:
-        level += 1
-        split = common.cut(_split(rows, threshold).distinct())
-        sizes = common.cut(split.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"))
-        small = split.join(sizes.where(F.col("size") <= SMALL).select("path"), "path")
+        sizes = common.cut(split.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
+        n_paths, n_large = sizes.agg(F.count("*"), F.count_if(F.col("n") > SMALL)).first()
+        rows = split.join(common.broadcast_if(sizes, n_paths), "path")
+        small = rows.where(F.col("n") <= SMALL).withColumn("dense", F.lit(None).cast("boolean"))
         done = small if done is None else done.unionByName(small)
-        large = sizes.where(F.col("size") > SMALL)
-        if large.isEmpty():
-            return done, level
-        open_rows = common.cut(split.join(common.sized(common.cut(large), 100_000), "path"))
-        if level == LEVELS:
-            return done.unionByName(_blocks(open_rows)), level
-        rows = open_rows.select("path", "set_id").join(classes.select("set_id", "sig"), "set_id")
+        if not n_large:
+            return done, deeper, level
+        large = split.join(common.broadcast_if(sizes.where(F.col("n") > SMALL), n_large), "path")
+        judged = common.stored(large.withColumn("dense", F.lit(True)) if level == LEVELS else _dense(large, n_large, sketches, threshold))
+        kinds = common.cut(judged.groupBy("path").agg(F.count_if("dense").alias("n_dense"), F.count_if(~F.col("dense")).alias("n_sparse")))
+        # few sparse classes stay with the dense ones; a bucket without dense ones is only split
+        judged = judged.join(common.broadcast_if(kinds, n_large), "path").withColumn("dense", F.col("dense") | (F.col("n_sparse") <= SMALL))
+        done = done.unionByName(judged.where((F.col("n_dense") > 0) | F.col("dense")).select("path", "set_id", "n", "dense"))
+        if kinds.where(F.col("n_sparse") > SMALL).isEmpty():
+            return done, deeper, level
+        sparse = judged.where("NOT dense").select("path", "set_id")
+        split = common.stored(_next_level(sparse, sketches, threshold))
+        level += 1
+        ids = sparse.select("set_id")
+        deeper = ids if deeper is None else deeper.unionByName(ids)
 
 
-def _blocks(large: DataFrame) -> DataFrame:
-    """Buckets (path, set_id, size) that stay large, as pairs of blocks of half the small size: every pair of classes meets in one of them."""
-    n = F.ceil(F.col("size") / (SMALL // 2)).cast("int")
-    dealt = large.withColumns({"n": n, "own": F.pmod(F.xxhash64("set_id", "path"), n).cast("int")})
-    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return other.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "set_id")
+def buckets(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """path, set_id, n, dense of all buckets to compare, of as many runs as the recall needs; kept. ``classes``: set_id, roots, sketch."""
+    sketches, roots = classes.select("set_id", "sketch"), classes.select("set_id", "roots")
+    made = runs_for(1, threshold, recall)
+    found, deeper, depth = _run(_first_level(roots, range(made), threshold), sketches, threshold)
+    while (needed := runs_for(depth, threshold, recall)) > made:
+        again = common.cut(deeper.distinct())
+        start = _first_level(roots.join(common.sized(again), "set_id", "left_semi"), range(made, needed), threshold)
+        more, further, level = _run(start, sketches, threshold)
+        found, depth, made = found.unionByName(more), max(depth, level), needed
+        deeper = again if further is None else again.unionByName(further)
+    return common.stored(found)
 
 
 # comparing
@@ -226,51 +256,90 @@ def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[dict[str, np.
         yield held
 
 
-def _roots(n: int, links: np.ndarray) -> np.ndarray:
-    """The smallest member of each member's connected part."""
-    root = np.arange(n)
+def _roots(near: np.ndarray) -> np.ndarray:
+    """The smallest member of each member's connected part, of a symmetric matrix of links."""
+    root = np.arange(len(near))
     while True:
-        new = root.copy()
-        np.minimum.at(new, links[:, 0], root[links[:, 1]])
-        np.minimum.at(new, links[:, 1], root[links[:, 0]])
+        least = np.where(near, root[None, :], len(root)).min(axis=1, initial=len(root))
+        new = np.minimum(root, least)
         new = new[new]
         if (new == root).all():
             return root
         root = new
 
 
-def clusters(found: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """cluster, set_id: classes of a bucket connected by sketches that may belong to linked sets. Equal clusters are one."""
+def _owned(path: int, paths: list[np.ndarray]) -> np.ndarray:
+    """Whether no path before ``path`` compares the pair, for all pairs. Odd entries are buckets in which the class is sparse: two sparse ones are not compared there."""
+    place = np.repeat(np.arange(len(paths)), [len(p) for p in paths])
+    flat = np.concatenate(paths)
+    earlier = (flat & -2) < path
+    place, flat = place[earlier], flat[earlier]
+    names, column, count = np.unique(flat & -2, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    place, flat, column = place[shared], flat[shared], column[shared]
+    names, column = np.unique(column, return_inverse=True)
+    any_ = np.zeros((len(paths), len(names)), dtype=np.float32)
+    any_[place, column] = 1
+    even = any_.copy()
+    even[place, column] = (flat & 1) == 0
+    met = even @ any_.T
+    return (met + met.T) == 0
+
+
+def _comparable(group: dict[str, np.ndarray]) -> np.ndarray:
+    """The pairs that a cell has to judge: owned by its path, of different classes, not both sparse, of two blocks where the cell has two."""
+    path, own = int(group["path"][0]), group["own"]
+    pairs = _owned(path, list(group["paths"]))
+    np.fill_diagonal(pairs, False)
+    if own[0] >= 0:
+        dense = group["dense"].astype(bool)
+        pairs &= dense[:, None] | dense[None, :]
+        if (own != own[0]).any():
+            pairs &= own[:, None] != own[None, :]
+    return pairs
+
+
+CELLS = "cell long, path long, own int, dense boolean, paths array<long>, set_id long"
+
+
+def cells(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """``CELLS`` and sketch: every bucket, a large one as the pairs of its blocks; ``own`` is a row's block (-1 in small buckets), ``paths`` all buckets of its class."""
+    listed = found.groupBy("set_id").agg(F.sort_array(F.collect_list(F.when(F.col("dense").isNull() | F.col("dense"), F.col("path")).otherwise(F.col("path") + 1))).alias("paths"))
+    large = found.where("dense IS NOT NULL")
+    shingles = large.join(classes.select("set_id", "size"), "set_id").groupBy("path").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    number = common.sized(common.cut(shingles.select("path", blocks.alias("blocks"))))
+    dealt = found.join(number, "path", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("set_id", "path"), F.col("blocks")).cast("int"), F.lit(-1)))
+    other = F.when(F.col("own") >= 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(-1)))
+    spread = dealt.withColumn("other", F.explode(other))
+    cell = F.when(F.col("own") < 0, F.col("path")).otherwise(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")))
+    rows = spread.select(cell.alias("cell"), "path", "own", F.coalesce("dense", F.lit(True)).alias("dense"), "set_id")
+    return rows.join(listed.join(classes.select("set_id", "sketch"), "set_id"), "set_id")
+
+
+def members(rows: DataFrame, threshold: float) -> DataFrame:
+    """``CELLS`` of the classes with a pair in their cell that the sketches take for a link."""
     least = TOKENS * threshold - SLACK * math.sqrt(TOKENS * threshold * (1 - threshold))
+    names = [c.split()[0] for c in CELLS.split(", ")]
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
-        for group in _groups(batches, "path"):
-            ids = group["set_id"]
-            sig = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint8).reshape(-1, TOKENS)
-            if len(ids) == 2:
-                if ids[0] != ids[1] and (sig[0] == sig[1]).sum() >= least:
-                    out += [(_cluster_id(ids), i) for i in ids.tolist()]
-            else:
-                near = [np.flatnonzero((sig[k + 1 :] == sig[k]).sum(axis=1) >= least) + k + 1 for k in range(len(ids) - 1)]
-                links = np.array([(k, j) for k, js in enumerate(near) for j in js.tolist()], dtype=np.int64).reshape(-1, 2)
-                if len(links):
-                    root = _roots(len(ids), links)
-                    for r in np.unique(root[links[:, 0]]):
-                        members = ids[root == r]
-                        name = _cluster_id(members)
-                        out += [(name, i) for i in members.tolist()]
-            if len(out) > 50_000:
-                yield pd.DataFrame(out, columns=["cluster", "set_id"])
+        for group in _groups(batches, "cell"):
+            sketch = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint8).reshape(-1, TOKENS)
+            n = len(sketch)
+            near = np.zeros((n, n), dtype=bool)
+            for k in range(n - 1):
+                near[k, k + 1 :] = (sketch[k + 1 :] == sketch[k]).sum(axis=1) >= least
+            if near.any():
+                hit = (near | near.T) & _comparable(group)
+                for i in np.flatnonzero(hit.any(axis=1)).tolist():
+                    out.append(tuple(group[c][i] for c in names))
+            if len(out) > 5_000:
+                yield pd.DataFrame(out, columns=names)
                 out = []
-        yield pd.DataFrame(out, columns=["cluster", "set_id"])
-
-    rows = found.join(classes.select("set_id", "sketch"), "set_id").repartition("path").sortWithinPartitions("path")
-    return rows.select("path", "set_id", "sketch").mapInPandas(task, "cluster long, set_id long").distinct()
+        yield pd.DataFrame(out, columns=names)
 
-
-def _cluster_id(members: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(np.unique(members).tobytes()) - (1 << 63)
+    return rows.repartition("cell").sortWithinPartitions("cell").select(*names, "sketch").mapInPandas(task, CELLS)
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -283,7 +352,7 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     total = np.zeros((len(sets), len(sets)), dtype=np.float32)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    step = 4096
+    step = 2048
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, step):
         a, b = np.searchsorted(column, [at, at + step])
         x = np.zeros((len(sets), step), dtype=np.float32)
@@ -292,34 +361,33 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def verified(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """set_id, root (smallest class of its part of the cluster), links (array of the linked classes)."""
+def verified(found: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """set_id, root (smallest class of its part of the cell), n (links that the cell owns)."""
+    names = [c.split()[0] for c in CELLS.split(", ")]
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
-        for group in _groups(batches, "cluster"):
-            ids, first = np.unique(group["set_id"], return_index=True)
-            tokens = [_unpacked(group["tokens"][i]) for i in first.tolist()]
-            size = np.array([len(t) for t in tokens])
-            if len(ids) < 2:
-                continue
+        for group in _groups(batches, "cell"):
+            ids, tokens = group["set_id"], [np.frombuffer(t, dtype="<u8") for t in group["tokens"]]
+            size = np.array([len(t) for t in tokens], dtype=np.float32)
             if len(ids) == 2:
-                shared = np.zeros((2, 2))
-                shared[0, 1] = shared[1, 0] = len(np.intersect1d(tokens[0], tokens[1], assume_unique=True))
+                both = len(np.intersect1d(tokens[0], tokens[1], assume_unique=True))
+                shared = np.array([[size[0], both], [both, size[1]]], dtype=np.float32)
             else:
                 shared = common_counts(tokens)
-            linked = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-6
-            np.fill_diagonal(linked, False)
-            root = _roots(len(ids), np.argwhere(linked))
-            for i in np.flatnonzero(linked.any(axis=1)):
-                out.append((ids[i], ids[root[i]], ids[linked[i]]))
-            if len(out) > 5_000:
-                yield pd.DataFrame(out, columns=["set_id", "root", "links"])
+            linked = shared * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-3
+            linked &= _comparable(group)
+            root = _roots(linked)
+            degree = linked.sum(axis=1)
+            for i in np.flatnonzero(degree):
+                out.append((ids[i], ids[root[i]], degree[i]))
+            if len(out) > 50_000:
+                yield pd.DataFrame(out, columns=["set_id", "root", "n"])
                 out = []
-        yield pd.DataFrame(out, columns=["set_id", "root", "links"])
+        yield pd.DataFrame(out, columns=["set_id", "root", "n"])
 
-    rows = members.join(sets, "set_id").repartition("cluster").sortWithinPartitions("cluster")
-    return rows.select("cluster", "set_id", "tokens").mapInPandas(task, "set_id long, root long, links array<long>")
+    rows = found.join(sets, "set_id").repartition("cell").sortWithinPartitions("cell")
+    return rows.select(*names, "tokens").mapInPandas(task, "set_id long, root long, n long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -343,25 +411,29 @@ def components(edges: DataFrame) -> DataFrame:
     return common.cut(nodes.join(least, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
 
 
+def classes_of(every: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """set_id, rep (smallest doc_id), size, roots (tokens at the places of all first levels), sketch (the low byte of each token); kept."""
+    places = [place for run in range(runs_for(LEVELS, threshold, recall)) for place in _places(run, threshold)]
+    pick = lambda at, n: F.substring("sig", at, n)
+    roots, sketch = F.concat(*[pick(4 * p + 1, 4) for p in places]), F.concat(*[pick(4 * k + 1, 1) for k in range(TOKENS)])
+    rows = every.where("set_id IS NOT NULL").select("set_id", "doc_id", "size", roots.alias("roots"), sketch.alias("sketch"))
+    return common.stored(rows.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.max("roots").alias("roots"), F.max("sketch").alias("sketch")))
+
+
 def join_similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its connected group), set_id (smallest doc_id of equal sets), n_links (other sets linked to its set)."""
     every = common.stored(signatures(docs, words))
-    classes = every.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("sig").alias("sig"), F.max("sketch").alias("sketch"))
-    classes = common.stored(classes)
-    runs = runs_for(1, threshold, recall)
-    found, depth = buckets(classes, 0, runs, threshold)
-    if (needed := runs_for(depth, threshold, recall)) > runs:
-        more, _ = buckets(classes, runs, needed - runs, threshold)
-        found = found.unionByName(more)
-    members = common.cut(clusters(found, classes, threshold))
-    wanted = members.select("set_id").distinct().join(classes.select("set_id", "rep"), "set_id").select(F.col("rep").alias("doc_id")).distinct()
-    sets = token_sets(docs.join(common.sized(common.cut(wanted)), "doc_id", "left_semi"), words)
-    links = common.stored(verified(members, sets, threshold))
+    classes = classes_of(every, threshold, recall)
+    found = common.stored(members(cells(buckets(classes, threshold, recall), classes), threshold))
+    wanted = found.select("set_id").distinct().join(classes.select("set_id", "rep"), "set_id").select(F.col("rep").alias("doc_id")).distinct()
+    # rows may share a doc_id: only sets that are wanted are joined, each once
+    sets = token_sets(docs.join(common.sized(common.cut(wanted)), "doc_id", "left_semi"), words).dropDuplicates(["set_id"])
+    links = common.stored(verified(found, sets, threshold))
     group = components(links.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
-    counted = links.groupBy("set_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("links")))).cast("long").alias("n_links"))
+    counted = links.groupBy("set_id").agg(F.sum("n").alias("n_links"))
     named = classes.select("set_id", "rep").join(group.withColumnRenamed("node", "set_id"), "set_id", "left").join(counted, "set_id", "left")
-    smallest = named.groupBy(F.coalesce("label", "set_id").alias("label")).agg(F.min("rep").alias("class_id"))
-    named = common.cut(named.withColumn("label", F.coalesce("label", "set_id")).join(smallest, "label").select("set_id", "rep", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    joined = every.select("doc_id", "set_id").join(named, "set_id").select("doc_id", "class_id", F.col("rep").alias("set_id"), "n_links")
-    alone = docs.select("doc_id").where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S"))
-    return joined.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(0).cast("long").alias("n_links")))
+    named = named.withColumn("label", F.coalesce("label", "set_id"))
+    smallest = named.groupBy("label").agg(F.min("rep").alias("class_id"))
+    named = common.cut(named.join(smallest, "label").select("set_id", "rep", "class_id", "n_links"))
+    joined = every.select("doc_id", "set_id").join(named, "set_id", "left")
+    return joined.select("doc_id", *[F.coalesce(c, "doc_id").alias(a) for c, a in (("class_id", "class_id"), ("rep", "set_id"))], F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -162,11 +162,38 @@ def test_join_of_odd_tables(spark):
     assert sorted((str(r.doc_id), str(r.class_id)) for r in rows) == [("3", "3"), ("3", "3"), ("None", "None")]
 
 
+def test_join_keeps_texts_of_odd_blanks(spark):
+    texts = ["\u00a0", "\x1c", "a b c d e f", "", "\u3000", None, " \t\n", "a\u00a0b c d e f"]
+    got = {r.doc_id: r for r in jaccard.join_similar(docs(spark, texts)).collect()}
+    assert {i: r.class_id for i, r in got.items()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 2}
+    assert all(r.n_links == 0 for r in got.values())
+
+
+def test_sparse_buckets_are_split_further(spark, monkeypatch):
+    """Texts that share a passage but are not similar, and some near copies among them."""
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    rng = random.Random(2)
+    passage = " ".join(f"p{i}" for i in range(40))
+    own = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    texts = [f"{passage} {own()}" for _ in range(150)]
+    texts += [t + f" tail{i}" for i, t in enumerate(texts[:20])]
+    classes = jaccard.classes_of(common.stored(jaccard.signatures(docs(spark, texts))), 0.8, 0.995)
+    levels = []
+    run = jaccard._run
+    monkeypatch.setattr(jaccard, "_run", lambda *a: levels.append(run(*a)) or levels[-1])
+    found = jaccard.buckets(classes).collect()
+    assert max(x[2] for x in levels) > 1 and len(levels) > 1 and any(r.dense is None for r in found)
+    got = {r.doc_id: r for r in jaccard.join_similar(docs(spark, texts)).collect()}
+    group, n_links = plain_groups(texts)
+    assert [got[i].class_id for i in range(170)] == group and [got[i].n_links for i in range(170)] == n_links
+
+
 def test_large_group_is_joined_whole(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SMALL", 16)
     monkeypatch.setattr(jaccard, "LEVELS", 2)
     base = [f"w{i}" for i in range(400)]
     texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(0, 400, 5)]
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 9)
     got = jaccard.join_similar(docs(spark, texts)).collect()
     assert {r.class_id for r in got} == {0} and {r.n_links for r in got} == {len(texts) - 1}
 
