@@ -5,12 +5,13 @@ a sequence by itself gives off full sequences, and what remains waits in a pool
 size. A sequence is filled from the pool by the dot-product heuristic: of the examples that
 fit under all limits (tokens, segments, loss-bearing tokens), the one whose demand vector
 has the largest dot product with the sequence's free capacity goes in. When none fits
-whole, the best one is cut to fill the gap, and a partition's last
-tokens fill sequences of powers of two, so that there is next to no padding. No shuffle is needed and no task holds more than the pool.
+whole, the best one is cut to fill the gap. A sequence that another limit closes early is cut
+back to a power of two, and what it gives up goes back to the pool; a partition's last tokens
+fill sequences of powers of two as well, so that nothing is padded. No shuffle is needed and no
+task holds more than the pool and the remembered chunks, which are bounded both.
 
 Defined results: null text is an example of the end token alone; repeated rows are packed
-as often as they occur; null ids pass through; an empty table gives no pieces. A sequence
-that the limit on segments or loss-bearing tokens closes early is padded.
+as often as they occur; null ids pass through; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -36,8 +37,10 @@ PER_PARTITION = 1 << 40
 SEPARATORS, SPACES = re.compile("[\x1c-\x1f]"), re.compile("[^\\S\x1c-\x1f]+")
 #: Marks that the word tokenizer cuts from a word of letters.
 MARKS = ".,;:!?"
-#: Chunks whose ids a worker remembers before it starts anew; documents tokenised at a time.
-MAX_CHUNKS, AT_ONCE = 1_200_000, 256
+#: Chunks whose ids a worker remembers (about 250 bytes each) before it keeps the recurring ones only; documents tokenised at a time.
+MAX_CHUNKS, AT_ONCE = 300_000, 256
+#: Words of letters tokenised as one text.
+WORDS_AT_ONCE = 1000
 
 
 @dataclass(frozen=True)
@@ -45,7 +48,7 @@ class Limits:
     """Of one sequence; ``pool``: examples that wait at most, before a sequence is closed."""
 
     tokens: int = 4096
-    segments: int = 256
+    segments: int = 16
     loss_tokens: int = 4096
     pool: int = 512
 
@@ -56,44 +59,38 @@ class Packer:
     def __init__(self, limits: Limits, first_id: int):
         self.limits, self.next_id = limits, first_id
         self.cap = np.array([limits.tokens, limits.segments, limits.loss_tokens], dtype=np.float64)
-        self.items: list[list] = []  # key, ids, loss prefix, start
+        self.items: list[list] = []  # key, ids left, their loss prefix, place of the first, ids of the whole example
         self.demand = np.zeros((limits.pool + 1, 3))
         self.rows: list[tuple] = []
 
-    def _need(self, item: list) -> tuple[int, int, int]:
-        _, ids, loss, start = item
-        return len(ids) - start, 1, int(loss[-1] - loss[start])
-
     def add(self, key, ids: np.ndarray, loss: np.ndarray) -> None:
         """loss[i]: loss-bearing tokens among the first i ids."""
-        item = [key, ids, loss, 0]
-        while self._overflows(item):  # a sequence of its own
-            free = self.cap.copy()
-            self._place(item, self._fitting(item, free), 0)
+        item = [key, ids, loss, 0, len(ids)]
+        while len(item[1]) >= self.limits.tokens or item[2][-1] - item[2][0] > self.limits.loss_tokens:  # a sequence of its own
+            n = self._fitting(item, self.cap)
+            self._place(item, n if n == self.limits.tokens else _power_below(n), 0)
             self.next_id += 1
-        if item[3] < len(ids):
-            self.demand[len(self.items)] = self._need(item)
-            self.items.append(item)
+        if len(item[1]):
+            item[1:3] = item[1].copy(), item[2].copy()  # lets go of what is packed
+            self._keep(len(self.items), item)
         if len(self.items) > self.limits.pool:
             self.close_one()
 
-    def _overflows(self, item: list) -> bool:
-        n, _, loss = self._need(item)
-        return n >= self.limits.tokens or loss > self.limits.loss_tokens
+    def _keep(self, k: int, item: list) -> None:
+        self.items[k : k + 1] = [item]
+        self.demand[k] = (len(item[1]), 1, item[2][-1] - item[2][0])
 
     def _fitting(self, item: list, free: np.ndarray) -> int:
         """Most tokens of the item that the free capacity takes."""
-        _, ids, loss, start = item
+        _, ids, loss, _, _ = item
         if free[1] < 1:
             return 0
-        n = min(len(ids) - start, int(free[0]))
-        return min(n, int(np.searchsorted(loss, loss[start] + free[2], side="right")) - 1 - start)
+        return min(len(ids), int(free[0]), int(np.searchsorted(loss, loss[0] + free[2], side="right")) - 1)
 
     def _place(self, item: list, n: int, offset: int) -> None:
-        key, ids, loss, start = item
-        piece = ids[start : start + n].astype("<u4").tobytes()
-        self.rows.append((key, start, n, zlib.crc32(piece), len(ids), self.next_id, offset, int(loss[start + n] - loss[start])))
-        item[3] += n
+        key, ids, loss, start, total = item
+        self.rows.append((key, start, n, zlib.crc32(ids[:n].astype("<u4").tobytes()), total, self.next_id, offset, int(loss[n] - loss[0])))
+        item[1:4] = ids[n:], loss[n:], start + n
 
     def _remove(self, k: int) -> None:
         last = len(self.items) - 1
@@ -102,28 +99,34 @@ class Packer:
 
     def close_one(self, tokens: int | None = None) -> None:
         """Fills one sequence from the pool, of ``tokens`` at most if given."""
-        free, offset = self.cap.copy(), 0
+        free = self.cap.copy()
         free[0] = tokens or free[0]
-        while self.items and free[0] >= 1 and free[1] >= 1:
-            demand = self.demand[: len(self.items)]
-            score = (demand / self.cap) @ (free / self.cap)
-            fits = (demand <= free).all(axis=1)
-            if whole := bool(fits.any()):
-                k = int(np.argmax(np.where(fits, score, -1.0)))
-            else:
-                k = int(np.argmax(score))
-            item = self.items[k]
-            n = len(item[1]) - item[3] if whole else self._fitting(item, free)
+        open_ = np.ones(len(self.items), dtype=bool)
+        chosen: list[tuple[int, int]] = []  # item, tokens
+        demand = self.demand[: len(self.items)]
+        while free[0] >= 1 and free[1] >= 1 and open_.any():
+            score = np.where(open_, (demand / self.cap) @ (free / self.cap), -1.0)
+            fits = open_ & (demand <= free).all(axis=1)
+            k = int(np.argmax(np.where(fits, score, -1.0) if fits.any() else score))
+            n = int(demand[k, 0]) if fits[k] else self._fitting(self.items[k], free)
             if n < 1:
                 break
-            before = item[2][item[3]]
-            self._place(item, n, offset)
-            free -= (n, 1, item[2][item[3]] - before)
-            offset += n
-            if item[3] >= len(item[1]):
-                self._remove(k)
+            loss = self.items[k][2]
+            free -= (n, 1, loss[n] - loss[0])
+            open_[k] = False
+            chosen.append((k, n))
+        size = sum(n for _, n in chosen)
+        size = size if size == self.limits.tokens else _power_below(size)
+        offset = 0
+        for k, n in chosen:
+            if n := min(n, size - offset):
+                self._place(self.items[k], n, offset)
+                offset += n
+        for k in sorted((k for k, _ in chosen), reverse=True):
+            if len(self.items[k][1]):
+                self._keep(k, self.items[k])
             else:
-                self.demand[k] = self._need(item)
+                self._remove(k)
         self.next_id += 1
 
     def flush(self) -> None:
@@ -137,6 +140,11 @@ class Packer:
         return rows
 
 
+def _power_below(n: int) -> int:
+    """The largest power of two up to n."""
+    return 1 << (n.bit_length() - 1)
+
+
 def chunks_of(text: str) -> list[str]:
     """Chunks between spaces, in lower case where that is safe: the tokenizer lower-cases all but its special tokens."""
     if text.isascii() and "<|" not in text:
@@ -147,14 +155,22 @@ def chunks_of(text: str) -> list[str]:
 
 
 class WordIds:
-    """texts -> ids, for a tokenizer that lower-cases and drops white space: each chunk between spaces is tokenised once and remembered."""
+    """texts -> ids, for a tokenizer that lower-cases and drops white space: each chunk between spaces is tokenised once and remembered.
+
+    Of more than ``max_chunks``, those stay that two calls held since the last time.
+    """
 
     def __init__(self, tokenizer_path: str, max_chunks: int = MAX_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.max_chunks = Tokenizer.from_file(tokenizer_path), max_chunks
+        suffix, vocabulary = self.tokenizer.model.end_of_word_suffix, self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
+        self.once: set[str] = set()
+        self.twice: set[str] = set()
 
     def _learn(self, new: set[str]) -> None:
         """Marks after a word of letters are tokens of their own, so words are remembered without them."""
@@ -162,8 +178,18 @@ class WordIds:
         words = {c: w if w.isalpha() else c for c, w in words.items()}
         parts = {w for w in words.values() if w not in self.known}
         parts.update(m for c, w in words.items() if (m := c[len(w) :]) and m not in self.known)
-        parts = list(parts)
-        for part, encoded in zip(parts, self.tokenizer.encode_batch(parts, add_special_tokens=False), strict=True):
+        plain, other = [p for p in parts if p.isalpha()], [p for p in parts if not p.isalpha()]
+        for at in range(0, len(plain), WORDS_AT_ONCE):
+            some = plain[at : at + WORDS_AT_ONCE]
+            (encoded,) = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+            ids = np.array(encoded.ids, dtype="<u4")
+            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(ends) != len(some):  # the tokenizer parts a word here that Python takes for one of letters
+                other += some
+                continue
+            data = ids.tobytes()
+            self.known.update(zip(some, [data[a:b] for a, b in zip([0, *ends], ends)], strict=True))
+        for part, encoded in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
             self.known[part] = array("I", encoded.ids).tobytes()
         for c, w in words.items():
             if c != w:
@@ -171,10 +197,15 @@ class WordIds:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [chunks_of(t) for t in texts]
+        here = set().union(*split)
+        self.twice |= self.once & here
+        self.once |= here
         if len(self.known) > self.max_chunks:
-            self.known.clear()
+            keep = self.twice if len(self.twice) <= self.max_chunks // 2 else here
+            self.known = {c: v for c, v in self.known.items() if c in keep}
+            self.once, self.twice = set(self.known), set()
         known = self.known
-        if new := set().union(*split).difference(known):
+        if new := here.difference(known):
             self._learn(new)
         return [np.frombuffer(b"".join([known[c] for c in chunks]), dtype="<u4") for chunks in split]
 
