@@ -1,21 +1,26 @@
 """Toxicity scores by weak supervision.
 
-Many voters look at a text: lexicon voters (does it hold a word of one lexicon group, or a
-word that starts like one) and pattern voters (second person near a lexicon word, shouting,
-runs of exclamation marks). The lexicons hold known insults and, from a bounded sample of labelled
-rows, words and word starts that are over-represented in toxic texts, dealt into groups. A
-generative label model then treats the label as hidden: given it, voters fire with unknown
-rates, and pairs of voters that agree beyond what the label explains form cliques whose joint
-votes count once (correlation). Rates and class share are estimated by expectation
-maximisation over the votes, starting from the lexicons' precision. A logistic regression on
-the texts' lexicon and pattern features is fitted to the posterior labels and scores every
-whole text.
+Lexicon entries are known insults and, from a bounded sample of labelled rows, words and word
+starts that are over-represented in toxic texts. A word that is an entry by itself counts for
+no word start. Entries that meet in the same toxic texts form a theme, so that each voter
+looks at another kind of language. Voters are: a theme's entry occurs, two different entries
+of it occur, any entry follows a word of address, any entry occurs in a text of capitals or
+with runs of exclamation marks, no entry occurs at all (a voter for clean), and the row's own
+label, which is one more voter of unknown accuracy.
+
+A generative label model treats the true label as hidden: given it, voters fire with unknown
+rates, and a voter's log-odds are divided by how much it repeats others: one plus its
+correlations with the voters that it is correlated with inside both classes. Rates,
+correlations and class share are estimated in turn by expectation maximisation. A logistic regression on the texts' theme and pattern features
+is fitted to the posterior labels and scores every whole text; labels take no part in that.
 
 The fit reads at most ``sample`` rows of each label, each weighted by the rows of its label that
 it stands for, so that the class mix is that of all labelled rows at every size; scoring reads everything and shuffles nothing.
 
 Defined results: null and empty texts get the score of a text without any feature; repeated
-rows get equal scores; without toxic labels every score is 0. Extra columns pass unread.
+rows get equal scores; a doc_id that is labelled or written more than once is learned from once,
+and as toxic if any of its labels says so; without toxic labels every score is 0. Extra columns
+pass unread.
 """
 
 from __future__ import annotations
@@ -37,11 +42,13 @@ SAMPLE = 5000
 #: A word enters a lexicon if its share of toxic texts is this many times theirs overall, beyond chance
 #: over all words looked at (the Chernoff bound of the binomial tail, times the words, stays below MAX_CHANCE).
 MIN_RATIO, MAX_CHANCE = 3.0, 0.01
-STEM_CHARS, GROUPS = 4, 8
+#: Lengths of word starts; themes at most; least share of common toxic texts that joins two entries in a theme.
+STEMS, THEMES, OVERLAP = range(4, 9), 8, 0.1
 THRESHOLD = 0.3
-#: Words of address in the languages at hand.
+#: Columns after the two of each theme: address, density, capitals, exclamations.
+PATTERNS = 4
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: A general lexicon of insults, which the learnt words join.
+#: A general lexicon of insults, which the learnt words join; words of address.
 INSULTS = (
     "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb fool jerk imbecile filth vermin garbage"
     " dummkopf trottel abschaum arschloch wertlos widerlich connard imbécile ordure débile crétin estúpido idiota imbécil basura asqueroso"
@@ -51,92 +58,127 @@ ADDRESS = frozenset("you your u du dich dir ihr tu te toi vous usted tú ti".spl
 
 @dataclass
 class Model:
-    """Lexicons as word or stem -> group, and the classifier's weights over the features."""
+    """Lexicons as word or word start -> (theme, entry number), and the classifier's weights over the features."""
 
-    words: dict[str, int] = field(default_factory=dict)
-    stems: dict[str, int] = field(default_factory=dict)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(2 * GROUPS + 4))
+    words: dict[str, tuple[int, int]] = field(default_factory=dict)
+    stems: dict[str, tuple[int, int]] = field(default_factory=dict)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(2 * THEMES + PATTERNS))
     intercept: float = -20.0
 
 
-def features(text: str | None, words: dict[str, int], stems: dict[str, int]) -> np.ndarray:
-    """log(1 + hits) of each word group and stem group, then the patterns."""
-    found = np.zeros(2 * GROUPS + 4)
+def features(text: str | None, words: dict[str, tuple[int, int]], stems: dict[str, tuple[int, int]]) -> np.ndarray:
+    """log(1 + hits) of each theme, log(1 + different entries) of each theme, then the patterns."""
+    found = np.zeros(2 * THEMES + PATTERNS)
     if not text:
         return found
     tokens = WORD.findall(text.lower())
-    previous = ""
+    starts = sorted({len(s) for s in stems}, reverse=True)
+    seen: set[tuple[int, int]] = set()
+    previous, spoken_to = "", 0
     for w in tokens:
-        if (g := words.get(w)) is not None:
-            found[g] += 1
-            found[2 * GROUPS] += previous in ADDRESS
-        if len(w) > STEM_CHARS and (g := stems.get(w[:STEM_CHARS])) is not None:
-            found[GROUPS + g] += 1
+        hit = words.get(w)
+        if hit is None:
+            for k in starts:
+                if len(w) > k and (hit := stems.get(w[:k])) is not None:
+                    break
+        if hit is not None:
+            found[hit[0]] += 1
+            seen.add(hit)
+            spoken_to += previous in ADDRESS
         previous = w
-    n = max(1, len(tokens))
-    hits = found[: 2 * GROUPS].sum()
-    found[2 * GROUPS + 1] = math.sqrt(hits / n)  # density
+    for theme, _ in seen:
+        found[THEMES + theme] += 1
+    hits = found[:THEMES].sum()
     raw = text.encode("utf-8", "surrogatepass")
-    found[2 * GROUPS + 2] = 2 * len(raw.translate(None, CAPITALS)) < len(raw)
-    found[2 * GROUPS + 3] = "!!" in text
-    found[: 2 * GROUPS + 1] = np.log1p(found[: 2 * GROUPS + 1])
+    found[2 * THEMES :] = spoken_to, 0, 2 * len(raw.translate(None, CAPITALS)) < len(raw), "!!" in text
+    found[: 2 * THEMES + 1] = np.log1p(found[: 2 * THEMES + 1])
+    found[2 * THEMES + 1] = math.sqrt(hits / max(1, len(tokens)))
     return found
 
 
-def lexicons(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> tuple[dict[str, int], dict[str, int]]:
-    """Known insults and over-represented words, and over-represented word starts, dealt into groups by falling frequency."""
-
-    def learn(bag_of: Callable[[str], set[str]], known: list[str]) -> dict[str, int]:
-        inside, outside = Counter(), Counter()
-        for text, t in zip(texts, toxic, strict=True):
-            (inside if t else outside).update(bag_of(text))
-        base = min(0.999, toxic.mean())
-        # chance is that of the sample; the ratio is that of all labelled rows
-        true_base = min(0.999, float(np.average(toxic, weights=weight)))
-        of_toxic, of_clean = weight[toxic].mean(), weight[~toxic].mean() if not toxic.all() else 1.0
-        limit = math.log(MAX_CHANCE / max(1, len(inside.keys() | outside.keys())))
-
-        def odd(w: str, c: int) -> bool:
-            n = c + outside[w]
-            share = c / n
-            divergence = share * math.log(share / base) + ((1 - share) * math.log((1 - share) / (1 - base)) if share < 1 else 0.0)
-            true_share = c * of_toxic / (c * of_toxic + outside[w] * of_clean)
-            return share > base and true_share >= min(MIN_RATIO * true_base, (1 + true_base) / 2) and -n * divergence <= limit
+def _entries(texts: list[str], toxic: np.ndarray, weight: np.ndarray, bag_of: Callable[[str], set[str]]) -> dict[str, float]:
+    """Over-represented members of the texts' bags and how telling each is."""
+    base = min(0.999, toxic.mean())
+    inside, outside = Counter(), Counter()
+    for i in np.flatnonzero(toxic):
+        inside.update(bag_of(texts[i]))
+    limit = math.log(MAX_CHANCE / max(1, len(inside)))
+    # rarer ones would be chance even if no clean text had them, so clean texts are counted for the others only
+    inside = {w: c for w, c in inside.items() if c * math.log(base) <= limit}
+    for i in np.flatnonzero(~toxic):
+        outside.update(bag_of(texts[i]).intersection(inside))
+    # chance is that of the sample; the ratio is that of all labelled rows
+    true_base = min(0.999, float(np.average(toxic, weights=weight)))
+    of_toxic, of_clean = weight[toxic].mean(), weight[~toxic].mean() if not toxic.all() else 1.0
+    found = {}
+    for w, c in inside.items():
+        n = c + outside[w]
+        share = c / n
+        divergence = share * math.log(share / base) + ((1 - share) * math.log((1 - share) / (1 - base)) if share < 1 else 0.0)
+        true_share = c * of_toxic / (c * of_toxic + outside[w] * of_clean)
+        if share > base and true_share >= min(MIN_RATIO * true_base, (1 + true_base) / 2) and -n * divergence <= limit:
+            found[w] = n * divergence
+    return found
 
-        kept = {w for w, c in inside.items() if odd(w, c)}.union(known)
-        return {w: i % GROUPS for i, w in enumerate(sorted(kept, key=lambda w: (-inside[w], w)))}
 
+def lexicons(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> tuple[dict[str, tuple[int, int]], dict[str, tuple[int, int]]]:
+    """Words and word starts with their themes. Of nested word starts the most telling one stays."""
     words = lambda t: set(WORD.findall(t.lower()))
-    return learn(words, INSULTS), learn(lambda t: {w[:STEM_CHARS] for w in words(t) if len(w) > STEM_CHARS}, [])
+    learned = set(_entries(texts, toxic, weight, words)).union(INSULTS)
+    telling = _entries(texts, toxic, weight, lambda t: {w[:k] for w in words(t) if w not in learned for k in STEMS if len(w) > k})
+    stems: list[str] = []
+    for s in sorted(telling, key=lambda s: (-telling[s], s)):
+        if not any(s.startswith(old) or old.startswith(s) for old in stems):
+            stems.append(s)
+    # which toxic texts hold which entry
+    lengths = {len(s) for s in stems}
+    known = set(stems)
+    where: dict[tuple[str, bool], set[int]] = {}
+    for i in np.flatnonzero(toxic).tolist():
+        for w in words(texts[i]):
+            if w in learned:
+                where.setdefault((w, True), set()).add(i)
+            else:
+                for k in lengths:
+                    if len(w) > k and w[:k] in known:
+                        where.setdefault((w[:k], False), set()).add(i)
+    theme: dict[tuple[str, bool], int] = {}
+    covered: list[set[int]] = []
+    for e in sorted(where, key=lambda e: (-len(where[e]), e)):
+        shares = [len(where[e] & c) / min(len(where[e]), len(c)) for c in covered]
+        best = int(np.argmax(shares)) if shares else -1
+        if best < 0 or (shares[best] < OVERLAP + 0.5 * len(covered[best]) / max(1, toxic.sum()) and len(covered) < THEMES):
+            best = len(covered)
+            covered.append(set())
+        covered[best] |= where[e]
+        theme[e] = best
+    entry = {e: (theme.get(e, 0), i) for i, e in enumerate([*((w, True) for w in sorted(learned)), *((s, False) for s in stems)])}
+    return {w: entry[w, True] for w in learned}, {s: entry[s, False] for s in stems}
+
+
+def repeats(votes: np.ndarray, belief: np.ndarray, limit: float = 0.3, rows: np.ndarray | float = 1.0) -> np.ndarray:
+    """How often each voter is told: 1 plus its correlations with the voters that it is correlated with (above ``limit``) inside both believed classes."""
+    least = np.full((votes.shape[1], votes.shape[1]), np.inf)
+    for weight in (belief * rows, (1 - belief) * rows):
+        centred = votes - (weight[:, None] * votes).sum(0) / max(weight.sum(), 1e-9)
+        scale = np.sqrt((weight[:, None] * centred**2).sum(0)) + 1e-9
+        least = np.minimum(least, (centred * weight[:, None]).T @ centred / scale[:, None] / scale[None, :])
+    np.fill_diagonal(least, 0.0)
+    return 1.0 + np.where(least > limit, np.minimum(least, 1.0), 0.0).sum(axis=1)
 
 
-def cliques(votes: np.ndarray, belief: np.ndarray, limit: float = 0.3, rows: np.ndarray | float = 1.0) -> np.ndarray:
-    """A clique number for each voter: voters whose votes correlate within the believed classes share one."""
-    centred = np.zeros(votes.shape)
-    for weight in (belief * rows, (1 - belief) * rows):
-        mean = (weight[:, None] * votes).sum(0) / max(weight.sum(), 1e-9)
-        centred += weight[:, None] * (votes - mean)
-    scale = np.sqrt((centred**2).sum(0)) + 1e-9
-    close = (centred.T @ centred) / scale[:, None] / scale[None, :] > limit
-    clique = np.arange(votes.shape[1])
-    for i in range(len(clique)):
-        for j in range(i):
-            if close[i, j]:
-                clique[clique == clique[i]] = clique[j]
-    return clique
-
-
-def label_model(votes: np.ndarray, belief: np.ndarray, rounds: int = 50, weight: np.ndarray | None = None) -> np.ndarray:
-    """Posterior of the hidden label, by expectation maximisation from ``belief``; a clique's log-odds are averaged."""
+def label_model(votes: np.ndarray, belief: np.ndarray, rounds: int = 50, weight: np.ndarray | None = None, against: np.ndarray | None = None) -> np.ndarray:
+    """Posterior of the hidden label, by expectation maximisation from ``belief``; ``against`` marks the voters that vote for clean."""
     votes = votes.astype(float)
     weight = np.ones(len(votes)) if weight is None else weight
-    clique = cliques(votes, belief, rows=weight)
-    share = 1.0 / np.bincount(clique, minlength=votes.shape[1])[clique]
+    against = np.zeros(votes.shape[1], dtype=bool) if against is None else against
     for _ in range(rounds):
-        rate = [((w[:, None] * votes).sum(0) + 0.5) / (w.sum() + 1.0) for w in (belief * weight, (1 - belief) * weight)]
-        rate[0] = np.maximum(rate[0], rate[1])  # a voter never speaks against toxicity
+        share = 1.0 / repeats(votes, belief, rows=weight)
+        one, zero = (((w[:, None] * votes).sum(0) + 0.5) / (w.sum() + 1.0) for w in (belief * weight, (1 - belief) * weight))
+        # no voter speaks against its own side
+        one = np.where(against, np.minimum(one, zero), np.maximum(one, zero))
         prior = ((belief * weight).sum() + 0.5) / (weight.sum() + 1.0)
-        odds = math.log(prior / (1 - prior)) + votes @ (share * np.log(rate[0] / rate[1])) + (1 - votes) @ (share * np.log((1 - rate[0]) / (1 - rate[1])))
+        odds = math.log(prior / (1 - prior)) + votes @ (share * np.log(one / zero)) + (1 - votes) @ (share * np.log((1 - one) / (1 - zero)))
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         if np.abs(new - belief).max() < 1e-6:
             break
@@ -144,6 +186,16 @@ def label_model(votes: np.ndarray, belief: np.ndarray, rounds: int = 50, weight:
     return belief
 
 
+def votes_of(x: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Votes of all voters over features ``x`` and labels, and which of them vote for clean."""
+    any_ = (x[:, :THEMES] > 0).any(1)
+    one, two, address = x[:, :THEMES] > 0, x[:, THEMES : 2 * THEMES] > math.log(2.5), x[:, 2 * THEMES] > 0
+    loud = (x[:, -2:] > 0.5) & any_[:, None]
+    votes = np.column_stack([one, two, address, loud, toxic, ~any_, ~toxic])
+    used = votes.any(0) & ~votes.all(0)
+    return votes[:, used], (np.arange(votes.shape[1]) >= votes.shape[1] - 2)[used]
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Newton's method on soft labels."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
@@ -170,19 +222,18 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray | None = None) -
     weight = np.ones(len(texts)) if weight is None else weight * (len(texts) / weight.sum())
     words, stems = lexicons(texts, toxic, weight)
     x = np.array([features(t, words, stems) for t in texts])
-    votes = (x > 0) & (np.arange(x.shape[1]) < 2 * GROUPS + 1)
-    votes = np.hstack([votes, (x[:, -2:] > 0.5) & votes.any(1)[:, None]])
-    start = np.where(votes.any(1), 0.9, 0.02)
-    weights, intercept = logistic(x, label_model(votes, start, weight=weight), weight=weight)
+    votes, against = votes_of(x, toxic)
+    weights, intercept = logistic(x, label_model(votes, np.where(toxic, 0.9, 0.02), weight=weight, against=against), weight=weight)
     return Model(words, stems, weights, intercept)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
     """At most ``sample`` texts of each label, by hash order, among the rows that ``learn`` marks; their labels and weights."""
-    marked = labels.where("toxic IS NOT NULL").where(learn).select("doc_id", (F.col("toxic") == 1).alias("toxic")).dropDuplicates(["doc_id"])
+    marked = labels.where("toxic IS NOT NULL").where(learn).groupBy("doc_id").agg(F.bool_or(F.col("toxic") == 1).alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = marked.where("toxic").orderBy(*order).limit(sample).unionByName(marked.where("NOT toxic").orderBy(*order).limit(sample))
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toPandas()
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").toPandas()
     toxic = rows["toxic"].to_numpy(dtype=bool)
     stands_for = {x["toxic"]: x["count"] / min(x["count"], sample) for x in marked.groupBy("toxic").count().collect()}
     return rows["text"].tolist(), toxic, np.array([stands_for[bool(t)] for t in toxic], dtype=float)

@@ -200,6 +200,41 @@ def test_toxicity_of_planted_texts(spark):
     assert all(r.score < 0.01 for r in toxicity.score_texts(docs(spark, ["x"]), toxicity.fit(["a"], np.array([False]))).collect())
 
 
+def test_toxicity_of_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    got = queries.op7_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    hit = ((got["toxic"] == 1) & (got["predicted"] == 1)).sum()
+    assert hit >= 0.8 * (got["toxic"] == 1).sum() and hit >= 0.9 * (got["predicted"] == 1).sum() and (got["predicted"] == (got["score"] >= 0.3)).all()
+
+
+def test_toxicity_learns_a_repeated_doc_id_once(spark):
+    rows = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, None), (3, 1)], "doc_id long, toxic int")
+    texts, toxic, _ = toxicity.training_sample(rows, labels, F.lit(True))
+    assert texts == ["a", "c"] and toxic.tolist() == [True, False]
+
+
+def test_label_model_matches_plain_expectation_maximisation():
+    rng = np.random.default_rng(1)
+    y = rng.random(500) < 0.3
+    votes = np.array([rng.random(500) < np.where(y, 0.7, 0.1), rng.random(500) < np.where(y, 0.5, 0.05), rng.random(500) < np.where(y, 0.1, 0.9)]).T
+    belief = plain = np.where(votes[:, 0], 0.8, 0.2)
+    for _ in range(50):
+        rate = [[(sum(b for b, v in zip(side, votes[:, j]) if v) + 0.5) / (sum(side) + 1) for j in range(3)] for side in (plain, 1 - plain)]
+        prior = (sum(plain) + 0.5) / 501
+        odds = []
+        for row in votes:
+            p, q = prior, 1 - prior
+            for j, v in enumerate(row):
+                one, zero = rate[0][j], rate[1][j]
+                one = min(one, zero) if j == 2 else max(one, zero)
+                p, q = p * (one if v else 1 - one), q * (zero if v else 1 - zero)
+            odds.append(p / (p + q))
+        plain = np.array(odds)
+    got = toxicity.label_model(votes, belief, against=np.array([False, False, True]))
+    assert np.abs(got - plain).max() < 1e-3 and ((got > 0.5) == y).mean() > 0.9
+
+
 def test_toxicity_sample_keeps_the_class_mix(spark):
     rows = docs(spark, [f"text {i}" for i in range(900)])
     labels = spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(900)], "doc_id long, toxic int")
