@@ -5,20 +5,23 @@ counts the hashes per host; those that recur on many pages of a host are its tem
 a second pass deletes these subtrees. What is boilerplate by its own mark-up goes too:
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments, by tag, role or class. A page with an ``article`` or ``main`` element gives the
-blocks of that element; its paragraphs and headings are the article's own text and are no
-template even if they recur.
+blocks of that element; what is inside it is the article's own text and is no template even
+if it recurs, wrappers and paragraphs alike. A page of which nothing would be left is a mirror
+of others, not their template, and keeps its text.
 
 Both passes read the html where it lies; only (host, hash) counts are shuffled.
 
 Defined results: null, empty and text-free html give an empty text; null or unparsable urls
-have no host and no template; broken mark-up is closed as browsers do; repeated rows give
-equal rows and count as pages each.
+have no host and no template; broken mark-up is read as browsers do: a tag whose quote is never
+closed swallows the rest of the page and is no text; repeated rows give equal rows and count as
+pages each.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,8 +31,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A subtree is a template if it is on so many pages of its host at least, and on this share of them.
+#: A subtree is a template if it is on so many pages of its host at least, and on this share of them or, on larger hosts, on the square root of their number.
 MIN_PAGES, MIN_SHARE = 3, 0.2
+#: Hashes of templates that are broadcast at most (8 MB).
+MAX_HASHES = 1_000_000
 
 #: How HTML elements behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,24 +44,30 @@ BLOCKS = frozenset(
 )
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = frozenset(
-    "head script style noscript template nav header footer aside form button select option textarea input label iframe object embed svg"
+    "head script style noscript template nav header footer aside form button select option textarea input iframe object embed svg"
     " canvas audio video map menu dialog title noembed noframes".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-#: Words of class and id attributes that mark what is not the article.
+#: Tokens of class and id attributes that mark what is not the article: a whole token, or one of these words before or after a hyphen or
+#: underscore of a token that names a kind of box with the other part (``cookie-notice``, ``ad_box``).
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead"
     " footer sidebar aside widget related recommended share sharing social comment comments disqus respond reply replies cookie cookies consent"
     " notice notification alert popup modal newsletter subscribe signup login search pagination pager toolbar copyright legal gdpr".split()
 )
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
+KINDS = MARKS | frozenset(
+    "area bar block body box button buttons container content form group holder inner item items left link links list main outer page panel post posts right row"
+    " section site slot strip thread top bottom text title unit wrap wrapper global primary secondary footer".split()
+)
 CONTAINERS = frozenset(("html", "body", "article", "main"))
 #: Elements that an opening tag closes, if they are the nearest open block.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-NAME = re.compile(r"[^\W_]+")
+#: A tag ends at the first ``>`` outside quotes; a quote opens only after ``=``. Without such an end it runs to the end of the page.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|$)|=\s*'[^']*(?:'|$)|[^>=]|=)*?)(?:>|$)", re.S)
+TOKEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+PART = re.compile(r"[-_:]+")
 
 
 class _Open:
@@ -68,7 +79,7 @@ class _Open:
         self.tag, self.attributes, self.first_block = tag, attributes, first_block
         self.content: list[str] = []
         self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
-        self.protected = tag in CONTAINERS or (self.inside and tag in PROSE) or (parent is not None and parent.protected and tag not in CONTAINERS and parent.tag not in CONTAINERS)
+        self.protected = tag in CONTAINERS or self.inside
         self.dropped = (parent is not None and parent.dropped) or is_boilerplate(tag, attributes, self.inside)
 
 
@@ -78,17 +89,24 @@ def is_boilerplate(tag: str, attributes: str, inside: bool) -> bool:
     if tag in CONTAINERS or "=" not in attributes:
         return False
     for name, value in ATTRIBUTE.findall(attributes):
-        words = NAME.findall(value.lower())
-        if (name.lower() == "role" and not ROLES.isdisjoint(words)) or (name.lower() != "role" and not MARKS.isdisjoint(words)):
+        tokens = value.strip("\"'").lower().split()
+        if not ROLES.isdisjoint(tokens) if name.lower() == "role" else any(map(_marks, tokens)):
             return True
     return False
 
 
+def _marks(token: str) -> bool:
+    """Whether a class token names a kind of boilerplate: each of its parts is a mark or a kind of box, and one is a mark."""
+    parts = [p.rstrip("0123456789") for p in PART.split(token) if p]
+    return not MARKS.isdisjoint(parts) and all(p in KINDS or not p for p in parts)
+
+
 def parse(page: str | None, template: frozenset[int] = frozenset()) -> tuple[list[str], list[int]]:
     """Blocks of the main text, and the hashes of the subtrees that could be a template."""
     blocks: list[tuple[str, bool, bool]] = []  # text, inside an article, kept
     hashes: list[int] = []
     stack = [_Open("", "", None, 0)]
+    n_open: Counter[str] = Counter()
     pending: list[str] = []
 
     def flush() -> None:
@@ -109,6 +127,7 @@ def parse(page: str | None, template: frozenset[int] = frozenset()) -> tuple[lis
         if block:
             flush()
         node = stack.pop()
+        n_open[node.tag] -= 1
         code = xxhash.xxh64_intdigest(f"{node.tag}\x00{node.attributes}\x00" + "\x01".join(node.content)) - (1 << 63)
         stack[-1].content.append(str(code))
         if block and not node.protected:
@@ -121,18 +140,21 @@ def parse(page: str | None, template: frozenset[int] = frozenset()) -> tuple[lis
         return [], []
     at = 0
     while True:
-        m = TOKEN.search(page, at)
-        say(page[at : m.start()] if m else page[at:])
-        if not m:
+        begin = TOKEN.search(page, at)
+        say(page[at : begin.start()] if begin else page[at:])
+        if not begin:
             break
-        at = m.end()
-        tag = m[2].lower() if m[2] else ""
-        if not tag:
+        if begin[0][1] in "!?":
+            closing = "-->" if begin[0] == "<!--" else ">"
+            end = page.find(closing, begin.end())
+            at = len(page) if end < 0 else end + len(closing)
             continue
+        m = TAG.match(page, begin.start())
+        at, tag = m.end(), m[2].lower()
         if tag in BLOCKS:
             flush()
         if m[1]:
-            if any(x.tag == tag for x in stack):
+            if n_open[tag]:
                 while stack[-1].tag != tag:
                     close()
                 close()
@@ -148,12 +170,15 @@ def parse(page: str | None, template: frozenset[int] = frozenset()) -> tuple[lis
                         close()
                     close()
         stack.append(_Open(tag, m[3].strip(), stack[-1], len(blocks)))
+        n_open[tag] += 1
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.start() if end else len(page)
     while len(stack) > 1:
         close()
     flush()
+    if not any(kept for *_, kept in blocks):
+        blocks = [(*block[:2], True) for block in blocks]
     main = any(inside and kept for _, inside, kept in blocks)
     return [text for text, inside, kept in blocks if kept and (inside or not main)], hashes
 
@@ -177,7 +202,7 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, template: the hashes of its recurring subtrees (at most 1 / min_share times those of a page); kept."""
+    """host, template: the hashes of its recurring subtrees (at most those of a page, times the square root of the pages or 1 / min_share); kept."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -188,13 +213,14 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     rows = seen.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hashes")).alias("hash"))
     counted = common.cut(rows.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
     sites = counted.where("hash IS NULL").select("host", F.col("n").alias("n_pages"))
-    frequent = counted.where("hash IS NOT NULL").join(sites, "host").where(F.col("n") >= min_share * F.col("n_pages"))
+    frequent = counted.where("hash IS NOT NULL").join(sites, "host").where(F.col("n") >= F.least(min_share * F.col("n_pages"), F.sqrt("n_pages")))
     return common.cut(frequent.groupBy("host").agg(F.collect_list("hash").alias("template")))
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
-    found = common.sized(templates(pages, min_pages, min_share), 100_000)
+    found = templates(pages, min_pages, min_share)
+    found = common.broadcast_if(found, found.agg(F.sum(F.size("template") + 4)).first()[0] or 0, MAX_HASHES)
     rows = with_host(pages).select("page_id", "url", "html", "host").join(found, "host", "left").select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "template")
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -317,6 +317,48 @@ def test_html_template_subtrees_go(spark):
     assert got[20] == "Acme welcome, reader\nOwn text 20 of this page\nshared by two"
 
 
+def test_html_keeps_recurring_articles_and_mirrored_pages(spark):
+    """Wrappers that recur inside an article, and pages that are copies of each other."""
+    article = "<html><body><nav>menu</nav><article><div class='content'><p>Same text</p></div></article></body></html>"
+    mirror = "<html><body><div><p>Only this</p></div></body></html>"
+    rows = [(i, f"http://a.org/{i}", article) for i in range(4)] + [(10 + i, f"http://b.org/{i}", mirror) for i in range(4)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(4)} == {"Same text"} and {got[10 + i] for i in range(4)} == {"Only this"}
+
+
+def test_html_markup_is_never_text():
+    texts = lambda h: html_text.parse(h)[0]
+    assert texts('<p class="x>Hello world</p><p>second</p>') == [] and texts('one<a href="x>y</article>') == ["one"]
+    assert texts("<p title=it's>hello</p>") == ["hello"] and texts('a<img alt="x>y">b <c') == ["ab"]
+    assert texts("<p>1 < 2 <!-- a > b -->and 3</p>") == ["1 < 2 and 3"]
+    assert texts('<div class="ad-free legal-history">own</div><div class="cookie-notice">no</div><div class="ad_box2">no</div><p>We <label>mean</label> it</p>') == ["own", "We mean it"]
+    assert texts("<div>" * 30000 + "deep" + "</div>" * 30000) == ["deep"]
+
+
+def test_html_templates_match_a_plain_count(spark):
+    """Subtrees of well-formed pages, counted from a plain parser, decide which blocks go."""
+    from xml.etree import ElementTree
+
+    rng = random.Random(8)
+    boxes = ["<div>" + "".join(f"<p>b{rng.randrange(40)}</p>" for _ in range(rng.randrange(1, 3))) + "</div>" for _ in range(30)]
+    pages = [(i, f"http://h{i % 3}.org/{i}", "<html><body>" + "".join(rng.choices(boxes, k=rng.randrange(1, 6))) + f"<p>own {i}</p></body></html>") for i in range(90)]
+    seen = defaultdict(set)
+    for i, url, h in pages:
+        for node in ElementTree.fromstring(h).iter():
+            if node.tag in ("div", "p"):
+                seen[url.split("/")[2], ElementTree.tostring(node)].add(i)
+    limit = max(3, min(0.2 * 30, 30**0.5))
+
+    def kept(node, host):
+        if len(seen[host, ElementTree.tostring(node)]) >= limit and node.tag in ("div", "p"):
+            return []
+        return [node.text] if node.text else [t for child in node for t in kept(child, host)]
+
+    want = {i: "\n".join(kept(ElementTree.fromstring(h), url.split("/")[2])) for i, url, h in pages}
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == want and any("b" in t for t in got.values())
+
+
 def test_html_keeps_articles_of_documents(spark):
     got = {r.page_id: r for r in queries.op10_html_extraction(spark, SF).collect()}
     for r in table(spark, "pages").collect():
