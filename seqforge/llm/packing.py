@@ -73,7 +73,7 @@ class Packer:
         if len(item[1]):
             item[1:3] = item[1].copy(), item[2].copy()  # lets go of what is packed
             self._keep(len(self.items), item)
-        if len(self.items) > self.limits.pool:
+        while len(self.items) > self.limits.pool:
             self.close_one()
 
     def _keep(self, k: int, item: list) -> None:
@@ -101,19 +101,21 @@ class Packer:
         """Fills one sequence from the pool, of ``tokens`` at most if given."""
         free = self.cap.copy()
         free[0] = tokens or free[0]
-        open_ = np.ones(len(self.items), dtype=bool)
+        demand = self.demand[: len(self.items)].copy()
+        scaled = demand / self.cap
         chosen: list[tuple[int, int]] = []  # item, tokens
-        demand = self.demand[: len(self.items)]
-        while free[0] >= 1 and free[1] >= 1 and open_.any():
-            score = np.where(open_, (demand / self.cap) @ (free / self.cap), -1.0)
-            fits = open_ & (demand <= free).all(axis=1)
-            k = int(np.argmax(np.where(fits, score, -1.0) if fits.any() else score))
+        while free[0] >= 1 and free[1] >= 1 and len(chosen) < len(self.items):
+            score = scaled @ (free / self.cap)
+            fits = (demand[:, 0] <= free[0]) & (demand[:, 2] <= free[2])  # every item is one segment
+            k = int(np.argmax(np.where(fits, score, -1.0)))
+            if not fits[k]:
+                k = int(np.argmax(score))
             n = int(demand[k, 0]) if fits[k] else self._fitting(self.items[k], free)
             if n < 1:
                 break
             loss = self.items[k][2]
             free -= (n, 1, loss[n] - loss[0])
-            open_[k] = False
+            demand[k], scaled[k] = np.inf, -1e6  # taken
             chosen.append((k, n))
         size = sum(n for _, n in chosen)
         size = size if size == self.limits.tokens else _power_below(size)

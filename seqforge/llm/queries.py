@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,10 @@ from . import decontaminate, html_text, jaccard, language, line_dedup, packing,
 from .common import table
 
 #: Vocabulary files of public tokenizers.
-TOKENIZERS = "/opt/tokenizers"
+WORDS, PIECES = (public_tokenizers.path(name) for name in ("word_bpe_49k.json", "piece_bpe_32k.model"))
+TOKENIZERS = str(Path(WORDS).parent)
+#: Instruction data: at most half of a sequence bears loss.
+TURNS = packing.Limits(loss_tokens=2048)
 
 
 def _fold(n: int) -> Column:
@@ -31,12 +37,17 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 tokens."""
-    return packing.pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), WORDS)
+
+
+def turn_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all conversations; the assistant's tokens bear loss, and all three limits bind."""
+    return packing.pack_turns(table(spark, sf_dir, "conversations"), WORDS, limits=TURNS)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token counts of every document."""
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECES)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +90,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_warc": op2_warc,
     "op3_packing": op3_packing,
+    "turn_packing": turn_packing,
     "op4_token_counts": op4_token_counts,
     "op5_line_dedup": op5_line_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
