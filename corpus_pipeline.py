@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqforge.llm import common, decontaminate, jaccard, line_dedup, packing, quality
-from seqforge.llm.queries import TOKENIZERS
+from seqforge.llm.queries import WORDS
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 tokens."""
-    return packing.pack_documents(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack_documents(docs, WORDS)
 
 
 STAGES = [
