@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows of narrow keys that are broadcast (16 MB of longs); beyond it, joins shuffle.
 MAX_BROADCAST_ROWS = 1_000_000
+#: Bytes of a batch that Spark hands to a Python task, unless the application sets its own.
+MAX_BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +55,27 @@ def broadcast_if(df: DataFrame, rows: int, max_rows: int = MAX_BROADCAST_ROWS) -
     return F.broadcast(df) if rows <= max_rows else df
 
 
+def in_batches(df: DataFrame, task: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``df.mapInPandas(task, schema)`` with batches of bounded bytes, whose worker gives its free memory back when a task ends."""
+    bytes_at_once = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not df.sparkSession.sparkContext.getConf().contains(bytes_at_once):
+        df.sparkSession.conf.set(bytes_at_once, MAX_BATCH_BYTES)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from task(batches)
+        release()
+
+    return df.mapInPandas(run, schema)
+
+
+def release() -> None:
+    """Hands memory that is free to the system: workers live on, and their next task may need none of it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def filtered(df: DataFrame, condition: Column) -> DataFrame:
     """``df.where(condition)`` over costly columns: the filter stays above the projection, which pushing it down would evaluate again inside it."""
     return df.withColumn("__row", F.monotonically_increasing_id()).where(condition & (F.col("__row") >= 0)).drop("__row")

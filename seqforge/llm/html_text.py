@@ -208,7 +208,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
         for batch in batches:
             yield pd.DataFrame({"host": batch["host"], "hashes": [sorted(set(parse(h)[1])) for h in batch["html"]]})
 
-    seen = with_host(pages).where("host IS NOT NULL AND html IS NOT NULL").select("host", "html").mapInPandas(task, "host string, hashes array<long>")
+    seen = with_host(pages).where("host IS NOT NULL AND html IS NOT NULL").select("host", "html").transform(common.in_batches, task, "host string, hashes array<long>")
     # the number of pages travels as the count of a hash that no subtree has
     rows = seen.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hashes")).alias("hash"))
     counted = common.cut(rows.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
@@ -234,5 +234,5 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
                 texts.append("\n".join(parse(h, known[key])[0]))
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    texts = rows.mapInPandas(task, "page_id string, url string, text string, n_chars long")
+    texts = rows.transform(common.in_batches, task, "page_id string, url string, text string, n_chars long")
     return texts.withColumn("page_id", F.col("page_id").cast("long"))

@@ -123,7 +123,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     rows.append((d, str(_set_id(tokens)), len(tokens), signature(tokens).astype("<u4").tobytes()) if has else (d, None, 0, None))
             yield pd.DataFrame(rows, columns=["doc_id", "set_id", "size", "sig"])
 
-    found = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(task, "doc_id string, set_id string, size long, sig binary")
+    found = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").transform(common.in_batches, task, "doc_id string, set_id string, size long, sig binary")
     return found.withColumns({c: F.col(c).cast("long") for c in ("doc_id", "set_id")})  # nullable longs would reach pandas as floats
 
 
@@ -136,7 +136,7 @@ def token_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 rows = [(_set_id(tokens), tokens.astype("<u8").tobytes()) for tokens in shingle_sets(texts, words) if len(tokens)]
                 yield pd.DataFrame(rows, columns=["set_id", "tokens"])
 
-    return docs.select("doc_id", "text").mapInPandas(task, "set_id long, tokens binary")
+    return docs.select("doc_id", "text").transform(common.in_batches, task, "set_id long, tokens binary")
 
 
 # paths
@@ -339,7 +339,7 @@ def members(rows: DataFrame, threshold: float) -> DataFrame:
                 out = []
         yield pd.DataFrame(out, columns=names)
 
-    return rows.repartition("cell").sortWithinPartitions("cell").select(*names, "sketch").mapInPandas(task, CELLS)
+    return rows.repartition("cell").sortWithinPartitions("cell").select(*names, "sketch").transform(common.in_batches, task, CELLS)
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -387,7 +387,7 @@ def verified(found: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         yield pd.DataFrame(out, columns=["set_id", "root", "n"])
 
     rows = found.join(sets, "set_id").repartition("cell").sortWithinPartitions("cell")
-    return rows.select(*names, "tokens").mapInPandas(task, "set_id long, root long, n long")
+    return rows.select(*names, "tokens").transform(common.in_batches, task, "set_id long, root long, n long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 UNKNOWN = "und"
 BUCKETS = 4096
 #: Training rows of each language, centroids of each, share of training texts beyond the rejection distance.
@@ -137,5 +139,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 rejected.append(bool(1 - cosine[k] > model.reach[k]))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": names, "score": scores, "rejected": rejected})
 
-    found = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(task, "doc_id string, lang_pred string, score double, rejected boolean")
+    found = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").transform(common.in_batches, task, "doc_id string, lang_pred string, score double, rejected boolean")
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -231,7 +231,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits
         packer.flush()
         yield frame(packer.taken())
 
-    pieces = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInPandas(task, PIECES)
+    pieces = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).transform(common.in_batches, task, PIECES)
     return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -252,7 +252,7 @@ def pack_turns(turns: DataFrame, tokenizer_path: str, end_id: int = 2, limits: L
         packer.flush()
         yield frame(packer.taken())
 
-    return whole.mapInPandas(task, PIECES).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return whole.transform(common.in_batches, task, PIECES).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def frame(rows: list[tuple]) -> pd.DataFrame:

@@ -108,5 +108,5 @@ def count_tokens(docs: DataFrame, model_path: str, key: str = "doc_id", text: st
             yield pd.DataFrame({"key": batch["key"], "n_pretokens": n_words, "n_tokens": n_tokens})
 
     rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    counted = rows.mapInPandas(task, "key string, n_pretokens long, n_tokens long")
+    counted = rows.transform(common.in_batches, task, "key string, n_pretokens long, n_tokens long")
     return counted.select(F.col("key").cast(docs.schema[key].dataType).alias(key), "n_pretokens", "n_tokens")

@@ -36,6 +36,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Rows of each label that the fit reads at most.
 SAMPLE = 5000
@@ -247,5 +249,5 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
             x = np.array([features(t, model.words, model.stems) for t in batch["text"]]).reshape(len(batch), -1)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": 1 / (1 + np.exp(-np.clip(x @ model.weights + model.intercept, -30, 30)))})
 
-    scored = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(task, "doc_id string, score double")
+    scored = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").transform(common.in_batches, task, "doc_id string, score double")
     return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
