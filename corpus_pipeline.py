@@ -25,17 +25,29 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return left.select(*docs.columns)
 
 
+def _with_row(docs: DataFrame) -> DataFrame:
+    """Rows of one doc_id but different texts are judged apart, and rows without one as well: ``__row`` is a hash of both."""
+    return docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents, the one of the smallest doc_id."""
-    groups = jaccard.join_similar(docs)
-    others = common.cut(groups.where("doc_id != class_id").select("doc_id").distinct())
-    return docs.join(common.sized(others), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of similar documents, the one of the smallest doc_id (null comes last); equal rows stay or go together."""
+    rows = _with_row(docs)
+    groups = common.cut(jaccard.join_similar(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "class_id").distinct())
+    shared = common.cut(groups.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id"))
+    members = common.cut(groups.join(common.sized(shared), "class_id"))
+    named = rows.select("__row", "doc_id").join(common.sized(members), "__row")
+    first = named.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")).alias("first"))
+    others = common.cut(members.join(first, "class_id").where("__row != first.__row").select("__row"))
+    return rows.join(common.sized(others), "__row", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
-    leaked = common.cut(decontaminate.leaks(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(common.sized(leaked), "doc_id", "left_anti").select(*docs.columns)
+    rows = _with_row(docs)
+    leaked = decontaminate.leaks(rows.select(F.col("__row").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
+    leaked = common.cut(leaked.select(F.col("doc_id").alias("__row")).distinct())
+    return rows.join(common.sized(leaked), "__row", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
