@@ -42,8 +42,8 @@ from . import common
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.995
 TOKENS = 128
-#: Classes of a bucket that are compared by brute force (a tenth of a second); levels of a path; classes of a block of a dense bucket, and the shingles of one at most (on average).
-SMALL, LEVELS, BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 6, 1024, 2_000_000
+#: Classes of a bucket that are compared by brute force (a second, spread over ten cells; a level more costs several passes); levels of a path; classes of a block of a dense bucket, and the shingles of one at most (on average).
+SMALL, LEVELS, BLOCK_CLASSES, BLOCK_SHINGLES = 4096, 6, 1024, 2_000_000
 #: A class is dense in a bucket if its mean similarity to it is above this share of the threshold, estimated from so many tokens; values rarer than RARE count as none.
 #: At half the threshold, a level more would save two thirds of the comparisons and cost as much again in runs.
 DENSE, PROBES, RARE = 0.6, 16, 0.02
@@ -196,13 +196,13 @@ def _dense(large: DataFrame, n_paths: int, sketches: DataFrame, threshold: float
 
 
 def _run(start: DataFrame, sketches: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None, int]:
-    """Buckets to compare (path, set_id, n, dense: null in small buckets), the classes that went deeper, the deepest level."""
+    """Buckets to compare (path, set_id, n, dense: null in buckets of one block), the classes that went deeper, the deepest level."""
     split, done, deeper, level = start, None, None, 1
     while True:
         sizes = common.cut(split.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
         n_paths, n_large = sizes.agg(F.count("*"), F.count_if(F.col("n") > SMALL)).first()
         rows = split.join(common.broadcast_if(sizes, n_paths), "path")
-        small = rows.where(F.col("n") <= SMALL).withColumn("dense", F.lit(None).cast("boolean"))
+        small = rows.where(F.col("n") <= SMALL).withColumn("dense", F.when(F.col("n") > BLOCK_CLASSES, True))
         done = small if done is None else done.unionByName(small)
         if not n_large:
             return done, deeper, level
@@ -303,7 +303,7 @@ CELLS = "cell long, path long, own int, dense boolean, paths array<long>, set_id
 
 
 def cells(found: DataFrame, classes: DataFrame) -> DataFrame:
-    """``CELLS`` and sketch: every bucket, a large one as the pairs of its blocks; ``own`` is a row's block (-1 in small buckets), ``paths`` all buckets of its class."""
+    """``CELLS`` and sketch: every bucket, a large one as the pairs of its blocks; ``own`` is a row's block (-1 in buckets of one), ``paths`` all buckets of its class."""
     listed = found.groupBy("set_id").agg(F.sort_array(F.collect_list(F.when(F.col("dense").isNull() | F.col("dense"), F.col("path")).otherwise(F.col("path") + 1))).alias("paths"))
     large = found.where("dense IS NOT NULL")
     shingles = large.join(classes.select("set_id", "size"), "set_id").groupBy("path").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
