@@ -7,6 +7,7 @@ per-video counts.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,13 +48,17 @@ def scenes(signal: DataFrame, threshold: float, max_cuts: int = 0, min_scene_len
 
 def _spaced(signal: DataFrame, cut: Column, min_len: int) -> DataFrame:
     """The cuts that a greedy walk keeps when each scene needs ``min_len`` frames; walks the cuts of one video at a time."""
-    cuts = signal.where(cut).groupBy("video_id").agg(F.sort_array(F.collect_list("frame_no")).alias("at"))
-    walk = F.aggregate(
-        "at",
-        F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept")),
-        lambda a, n: F.when(n - a["last"] >= min_len, F.struct(n.alias("last"), F.concat(a["kept"], F.array(n)).alias("kept"))).otherwise(a),
-    )
-    return cuts.select("video_id", F.explode(walk["kept"]).alias("frame_no"), F.lit(True).alias("is_cut"))
+    cuts = signal.where(cut).select("video_id", F.col("frame_no").cast("long").alias("frame_no"))
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        last, kept = 0, []
+        for n in sorted(group["frame_no"].tolist()):
+            if n - last >= min_len:
+                kept.append(n)
+                last = n
+        return pd.DataFrame({"video_id": group["video_id"].iloc[:1].repeat(len(kept)).to_numpy(), "frame_no": kept})
+
+    return cuts.groupBy("video_id").applyInPandas(walk, cuts.schema).withColumn("is_cut", F.lit(True))
 
 
 def keep_long(scenes_: DataFrame, min_frames: Column) -> DataFrame:

@@ -38,17 +38,32 @@ def windows(frames: DataFrame, group: str, order: str, length: int) -> DataFrame
     return rows.withColumn("offset", F.col("_place") - F.col("window_no")).drop("_place", "_n")
 
 
+#: Ranges of names into which ``numbered`` deals its scenes, and names that are looked at to find their bounds.
+RANGES, SAMPLE = 256, 4096
+
+
+def _range_of(scenes: DataFrame, order: str) -> Column:
+    """Number of the range of a name: ranges hold about equally many scenes, whatever their names begin with.
+
+    The bounds come from the names of the smallest hashes, a sample that no partitioning changes.
+    """
+    rows = scenes.where(F.col(order).isNotNull()).select(F.col(order).alias("n")).orderBy(F.xxhash64("n"), "n").limit(SAMPLE)
+    names = sorted({r["n"] for r in rows.collect()})
+    bounds = [names[len(names) * k // RANGES] for k in range(1, RANGES)] if len(names) >= RANGES else names
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+
+
 def numbered(scenes: DataFrame, order: str, n_windows: str, n_tiles: str, name: str = "first_show") -> DataFrame:
     """The show number of each scene's first tile: 1 plus windows times tiles of the scenes before it.
 
-    Scenes are summed by the first two characters of ``order``, so that only those sums meet in one task.
+    Scenes are summed by ranges of ``order``, so that only those sums meet in one task.
     """
     load = F.col(n_windows) * F.col(n_tiles)
-    keyed = scenes.withColumns({"_key": F.substring(F.col(order), 1, 2), "_load": load})
+    keyed = scenes.withColumns({"_key": _range_of(scenes, order), "_load": load})
     sums = keyed.groupBy("_key").agg(F.sum("_load").alias("_sum"))
     bases = sums.select("_key", F.coalesce(F.sum("_sum").over(Window.orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     within = Window.partitionBy("_key").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("_before", F.coalesce(F.sum("_load").over(within), F.lit(0))).join(bases, "_key")
+    placed = keyed.withColumn("_before", F.coalesce(F.sum("_load").over(within), F.lit(0))).join(F.broadcast(bases), "_key")  # at most RANGES rows
     return placed.withColumn(name, (F.col("_base") + F.col("_before") + 1).cast("long")).drop("_key", "_load", "_base", "_before")
 
 

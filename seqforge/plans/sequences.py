@@ -256,16 +256,19 @@ SELECT seq, window_no, o AS "offset", window_no + o + 1 AS frame_no FROM w, rang
 
 
 def tile_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of three frames times the four tiles of an 8 x 8 image: pixel sums of each tile. Only sequences with seq % 3 = 0, as in its SQL."""
-    frames = adapters.embedding_frames(spark, sf_dir).where("seq % 3 = 0")
+    """Windows of three frames times the four tiles of an 8 x 8 image: pixel sums of each tile.
+
+    Frames are cut into tiles once; windows repeat the tiles' sums, not the pixels.
+    """
+    frames = adapters.embedding_frames(spark, sf_dir)
     grid = tiling.grid(spark.createDataFrame([(8, 8)], "width int, height int"), 4, 4).select("x", "y", "tile_idx")
-    placed = tiling.windows(frames.select("seq", "frame_no"), "seq", "frame_no", 3).crossJoin(F.broadcast(grid))
-    cut = tiling.cut(placed.join(frames.select("seq", "frame_no", "width", "pixels"), ["seq", "frame_no"]), 4, 4)
     total = F.aggregate("tile_pixels", F.lit(0).cast("long"), lambda a, v: a + v)
-    return cut.select("seq", F.col("window_no").cast("long").alias("window_no"), F.col("frame_no").cast("long").alias("frame_no"), "tile_idx", total.alias("px_sum"))
+    tiles = tiling.cut(frames.crossJoin(F.broadcast(grid)), 4, 4).groupBy("seq", "frame_no").agg(F.collect_list(F.struct("tile_idx", total.alias("px_sum"))).alias("tiles"))
+    rows = tiling.windows(tiles, "seq", "frame_no", 3).select("seq", "window_no", "frame_no", F.inline("tiles"))
+    return rows.select("seq", F.col("window_no").cast("long").alias("window_no"), F.col("frame_no").cast("long").alias("frame_no"), "tile_idx", "px_sum")
 
 
-TILE_EXPAND = f"""WITH {sql.FRAMES}, n AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY frame_no) - 1 AS p, count(*) OVER (PARTITION BY seq) AS c FROM frames WHERE seq % 3 = 0),
+TILE_EXPAND = f"""WITH {sql.FRAMES}, n AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY frame_no) - 1 AS p, count(*) OVER (PARTITION BY seq) AS c FROM frames),
 t AS (SELECT seq, frame_no, p, c, (i // 8 // 4) * 2 + (i % 8) // 4 AS tile_idx, sum(pixels[i + 1])::BIGINT AS px_sum FROM n, range(64) r(i) GROUP BY ALL)
 SELECT seq, w AS window_no, frame_no::BIGINT AS frame_no, tile_idx, px_sum FROM t, range(8) x(w) WHERE w <= p AND p < w + 3 AND w <= c - 3"""
 
