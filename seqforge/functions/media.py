@@ -48,3 +48,17 @@ def is_hdr(transfer: Column, space: Column, primaries: Column) -> Column:
 def video_stream(json: Column) -> Column:
     """The first video stream of a probe's JSON; null if there is none."""
     return F.get(F.filter(F.from_json(json, PROBE_SCHEMA)["streams"], lambda s: s["codec_type"] == "video"), 0)
+
+
+def sequence_probe(json: Column) -> Column:
+    """The second way to read a probe's JSON: struct of duration, width, height, fps (0 where the denominator is 0), codec and nb_frames (0 where none is stated); null without a video stream."""
+    stream, duration = video_stream(json), F.from_json(json, PROBE_SCHEMA)["format"]["duration"]
+    found = F.struct(
+        duration.try_cast("double").alias("duration"),
+        stream["width"].alias("width"),
+        stream["height"].alias("height"),
+        F.coalesce(rate(stream["r_frame_rate"]), F.lit(0.0)).alias("fps"),
+        stream["codec_name"].alias("codec"),
+        F.coalesce(stream["nb_frames"].try_cast("long"), F.lit(0).cast("long")).alias("nb_frames"),
+    )
+    return F.when(stream.isNotNull(), found)

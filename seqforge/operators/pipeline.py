@@ -6,12 +6,20 @@ repeated without touching what another wrote.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import logging
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqforge.functions import media
 from seqforge.operators import chunking, quality, sequences
+from seqforge.sources import images
 from seqforge.sources.config import ConfigError, Settings
 
+log = logging.getLogger(__name__)
+
 
 def split(videos: DataFrame, signal: DataFrame | None, s: Settings, existing: int = 0) -> DataFrame:
     """video_id, start_frame, end_frame, chunk_no by the settings' strategy.
@@ -58,6 +66,59 @@ def curate(frames: DataFrame, low: DataFrame, s: Settings) -> tuple[DataFrame, D
     return judged, low.join(kept, ["seq", "frame_no"], "left_anti")
 
 
+def attempted(rows: DataFrame, work: Callable[[dict], None]) -> DataFrame:
+    """``rows`` with success and error: ``work`` is called for each row on the executors, and a row whose call fails stops no other."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            errors = []
+            for row in batch.to_dict("records"):
+                try:
+                    work(row)
+                    errors.append(None)
+                except Exception as error:  # the point of this operator: the error is the result
+                    errors.append(f"{type(error).__name__}: {error}")
+            yield batch.assign(success=[e is None for e in errors], error=pd.Series(errors, dtype=object, index=batch.index))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInPandas(task, f"{schema}, success boolean, error string")
+
+
+def videos(spark: SparkSession, s: Settings, probes: DataFrame) -> DataFrame:
+    """video_id, path, nb_frames, duration, fps of the input's videos: a file's, or all of a folder. ``probes``: path, json (a prober's output)."""
+    files = images.inputs(spark, s.input)
+    if files.isEmpty():
+        raise ConfigError(f"no video in {s.input}")
+    stream = media.video_stream(F.col("json"))
+    read = files.join(probes, "path").select(
+        F.xxhash64("path").alias("video_id"),
+        "path",
+        stream["nb_frames"].try_cast("long").alias("nb_frames"),
+        F.from_json("json", media.PROBE_SCHEMA)["format"]["duration"].try_cast("double").alias("duration"),
+        media.fps(stream["r_frame_rate"], stream["avg_frame_rate"]).alias("fps"),
+    )
+    return read.withColumn("video_id", F.abs(F.col("video_id") % 1_000_000_000))
+
+
+def run(spark: SparkSession, s: Settings, probes: DataFrame, encode: Callable[[dict], None], signal: DataFrame | None = None, existing: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A batch from settings: every chunk with success and error, and the summary over videos (a video fails if none of its chunks succeeds).
+
+    ``encode`` makes the files of one chunk (a dict of path, start_frame, end_frame, chunk_no, ...) with whatever encoder the cluster has.
+    The chunks are kept by ``persist``; what a lost executor held is encoded again, so ``encode`` has to allow that.
+    """
+    found = videos(spark, s, probes)
+    chunks = split(found, signal, s, existing).join(found.select("video_id", "path", "fps"), "video_id")
+    log.info("encoding chunks of %s", s.input)
+    done = attempted(chunks, encode).persist()
+    per_video = done.groupBy("video_id").agg(F.bool_or("success").alias("success"), F.first("error", ignorenulls=True).alias("error"))
+    counted = summary(per_video)
+    if not done.where("success").isEmpty():
+        log.info("chunks done")
+    else:
+        log.warning("no chunk was encoded")
+    return done, counted
+
+
 def summary(results: DataFrame) -> DataFrame:
     """total, successes, failures of a batch (video, success, error)."""
     return results.agg(F.count("*").alias("total"), F.count_if(F.col("success")).alias("successes"), F.count_if(~F.col("success")).alias("failures"))

@@ -7,6 +7,7 @@ sample configuration.
 from __future__ import annotations
 
 import dataclasses
+import os.path
 from dataclasses import dataclass, field
 
 
@@ -150,6 +151,14 @@ class Settings:
     min_motion: float = -1
     max_motion: float = -1
     motion_threshold: int = 30
+    output_directory: str = ""
+    logging_directory: str = ""
+    post_processing: bool = False
+    tiling: bool = True
+    motion_detection: bool = True
+    tile_width: int = 256
+    tile_height: int = 256
+    seed: int = 1024
     degradations: tuple[Degradation, ...] = field(default_factory=tuple)
     codecs: tuple[Codec, ...] = SHIPPED_CODECS
 
@@ -157,6 +166,33 @@ class Settings:
 STRATEGIES = ("duration", "scene_detection", "frame_count")
 
 
+#: Path keys of the sample configuration and the settings that hold them; nested ones by section.
+PATHS = {"input": "input", "chunks_directory": "chunks_directory", "frame_extraction.output_directory": "output_directory", "logging.directory": "logging_directory"}
+
+
+def paths(raw: dict) -> dict[str, str]:
+    """The path settings of a parsed mapping, with ``.``, ``..`` and doubled separators resolved; other types are left out."""
+    found = {}
+    for key, name in PATHS.items():
+        value: object = raw
+        for part in key.split("."):
+            value = value.get(part) if isinstance(value, dict) else None
+        if isinstance(value, str):
+            found[name] = os.path.normpath(value) if value else value
+    return found
+
+
+def pair(owner: str, name: str, value: object) -> tuple:
+    """A range as a tuple; anything but two elements is an error."""
+    if not isinstance(value, (list, tuple)) or len(value) != 2:
+        raise ConfigError(f"{owner}: {name} has to be a list of two numbers")
+    return tuple(value)
+
+
+def _is_range(f: dataclasses.Field) -> bool:
+    return isinstance(f.default, tuple) and len(f.default) == 2 and all(isinstance(v, (int, float)) for v in f.default)
+
+
 def degradation(entry: dict) -> Degradation:
     """Checks one entry of the list; unknown names and keys are errors."""
     for key in ("name", "enabled", "probability"):
@@ -170,6 +206,9 @@ def degradation(entry: dict) -> Degradation:
     known = {f.name for f in dataclasses.fields(PARAMS[name])}
     if unknown := params.keys() - known:
         raise ConfigError(f"{name}: unknown parameters {sorted(unknown)}")
+    for f in dataclasses.fields(PARAMS[name]):
+        if f.name in params and _is_range(f):
+            params[f.name] = pair(name, f.name, params[f.name])
     made = PARAMS[name](**{k: tuple(v) if isinstance(v, list) else v for k, v in params.items()})
     return Degradation(name, float(entry["probability"]), bool(entry["enabled"]), made)
 
@@ -179,10 +218,10 @@ def settings(raw: dict, strict: bool = True) -> Settings:
     known = {f.name for f in dataclasses.fields(Settings)} - {"degradations", "codecs"}
     listed = [degradation(e) for e in raw.get("degradations", ())]
     coded = [d for d in listed if d.name == "codec"]
-    values = {k: v for k, v in raw.items() if k in known}
+    values = {k: v for k, v in raw.items() if k in known} | paths(raw)
     if coded:
         values["codecs"] = tuple(
-            Codec(n, float(c["probability"]), tuple(c["quality_range"]), tuple(c.get("presets", ())), tuple(c["preset_range"]) if "preset_range" in c else None)
+            Codec(n, float(c["probability"]), pair(n, "quality_range", c["quality_range"]), tuple(c.get("presets", ())), pair(n, "preset_range", c["preset_range"]) if "preset_range" in c else None)
             for n, c in coded[0].params.items()
         )
     made = Settings(**values, degradations=tuple(d for d in listed if d.name != "codec"))
@@ -196,15 +235,15 @@ def settings(raw: dict, strict: bool = True) -> Settings:
     return made
 
 
-def load(path: str, strict: bool = True) -> Settings:
-    """Settings from a YAML file; if not ``strict``, a missing or unreadable file gives the defaults."""
+def load(path: str, strict: bool = True, file_required: bool | None = None) -> Settings:
+    """Settings from a YAML file; a missing or unreadable file gives the defaults unless ``file_required`` (as strict as the content by default)."""
     import yaml
 
     try:
         with open(path, encoding="utf-8") as file:
             raw = yaml.safe_load(file) or {}
     except (OSError, yaml.YAMLError):
-        if strict:
+        if strict if file_required is None else file_required:
             raise
         raw = {}
     return settings(raw, strict)
@@ -213,3 +252,9 @@ def load(path: str, strict: bool = True) -> Settings:
 def overlaid(base: Settings, **given: object) -> Settings:
     """``base`` with the values that are not None."""
     return dataclasses.replace(base, **{k: v for k, v in given.items() if v is not None})
+
+
+def post_processing(base: Settings, no_tiling: bool = False, no_motion: bool = False, **given: object) -> Settings:
+    """Overrides of a post-processing run, which is thereby enabled: output_directory, tile_width, tile_height, seed, min_motion, max_motion, motion_threshold."""
+    made = overlaid(base, **given)
+    return dataclasses.replace(made, post_processing=True, tiling=made.tiling and not no_tiling, motion_detection=made.motion_detection and not no_motion)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqforge.functions import names, pixels
+from seqforge.sources.config import ConfigError
 
 
 def listing(spark: SparkSession, folder: str, extensions: tuple[str, ...] | None = None, recursive: bool = False) -> DataFrame:
@@ -35,3 +36,32 @@ def gray_frames(spark: SparkSession, folder: str) -> DataFrame:
         "height",
         gray.alias("pixels"),
     )
+
+
+def inputs(spark: SparkSession, path: str, extensions: tuple[str, ...] = names.VIDEO_EXTENSIONS) -> DataFrame:
+    """path, length of a single file, whatever its name, or of a folder's files with the extensions, in order of path."""
+    single = bool(names_end(path))
+    files = listing(spark, path, None if single else extensions)
+    return files.orderBy("path")
+
+
+def names_end(path: str) -> str:
+    """The extension of a path's last part, or nothing."""
+    last = path.rstrip("/").rsplit("/", 1)[-1]
+    return last.rsplit(".", 1)[1] if "." in last[1:] else ""
+
+
+def existing_chunks(spark: SparkSession, high: str, low: str) -> DataFrame:
+    """hr_path, lr_path of the chunks of a folder; a folder without one is an error."""
+    files = listing(spark, high, ("mkv", "mp4")).select("path")
+    if files.isEmpty():
+        raise ConfigError(f"no chunks in {high}")
+    return files.select(F.col("path").alias("hr_path"), F.concat(F.lit(low.rstrip("/") + "/"), names.basename(F.col("path"))).alias("lr_path"))
+
+
+def tile_naming(files: DataFrame, filename: str = "filename") -> DataFrame:
+    """One row: prefix and digits of the first frame file by name, which tiles are named after; nulls if there is none."""
+    name = F.col(filename)
+    fits = files.where(name.rlike(names.TILE_NAME) & name.rlike(names.TILE_EXTENSIONS))
+    part = lambda group: F.min_by(F.regexp_extract(name, names.TILE_NAME, group), name)
+    return fits.agg(part(1).alias("prefix"), F.length(part(2)).alias("digits"))
