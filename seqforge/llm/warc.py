@@ -97,6 +97,14 @@ def _chunks(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _placed(chunks: DataFrame) -> DataFrame:
+    """``start``: the offset of each chunk's version line in its file, from the bytes of the chunks before it; what stands before the first one is left out."""
+    before = Window.partitionBy("file").orderBy("block", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    # each chunk but the first stands after a version line
+    place = F.coalesce(F.sum(F.col("bytes") + len(MAGIC)).over(before), F.lit(0)) - len(MAGIC)
+    return chunks.withColumn("start", place).where("start >= 0")
+
+
 def _header(name: str) -> Column:
     return F.nullif(F.regexp_extract(F.col("head"), rf"(?i)(?:^|\r\n){name}:[ \t]*([^\r]*)", 1), F.lit(""))
 
@@ -129,10 +137,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         payload_digest(F.col("payload")).alias("payload_digest"),
     )
-    before = Window.partitionBy("file").orderBy("block", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    # each chunk but the first stands after a version line, so the bytes before it are those of the chunks and lines before
-    place = F.coalesce(F.sum(F.col("bytes") + len(MAGIC)).over(before), F.lit(0)) - len(MAGIC)
-    placed = narrow.withColumn("start", place).where("start >= 0").withColumn("next", F.col("start") + F.col("span"))
+    placed = _placed(narrow).withColumn("next", F.col("start") + F.col("span"))
     order = Window.partitionBy("file").orderBy("start")
     broken = F.when(F.lag("next").over(order) == F.col("start"), 0).otherwise(1)
     return common.cut(placed.withColumn("run", F.sum(broken).over(order.rowsBetween(Window.unboundedPreceding, 0))))
@@ -174,9 +179,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     plain = owned.where("on_chain").select(*keys, "content", *fields).join(common.sized(parted), keys, "left_anti").select(*fields)
     if parted.isEmpty():
         return plain
-    # records whose payload holds a version line: their chunks, put together again
-    places = owned.join(common.sized(parted), keys, "left_semi").select("file", "block", "seq", "owner", "start", "content", *fields[:4])
-    pieces = common.cut(places).join(_chunks(spark, path), ["file", "block", "seq"])
+    # records whose payload holds a version line: their chunks, put together again. They are found by their offset, which no split of the files changes
+    places = owned.join(common.sized(parted), keys, "left_semi").select("file", "owner", "start", "content", *fields[:4])
+    whole_files = common.cut(parted.select("file").distinct())
+    chunks = _placed(_chunks(spark, path).join(common.sized(whole_files), "file", "left_semi").withColumn("bytes", F.octet_length("value").cast("long")))
+    pieces = common.cut(places).join(chunks.select("file", "start", "value"), ["file", "start"])
     block = F.concat_ws(MAGIC, F.transform(F.sort_array(F.collect_list(F.struct("start", "value"))), lambda x: x["value"]))
     first = [F.max(F.when(F.col("start") == F.col("owner"), F.col(f))).alias(f) for f in ("content", *fields[:4])]
     joined = pieces.groupBy(*keys).agg(block.alias("value"), *first)
