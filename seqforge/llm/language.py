@@ -17,6 +17,7 @@ results; without training rows everything is ``und``. Extra columns are not read
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -45,8 +46,8 @@ class Model:
 
 
 def _letters() -> np.ndarray:
-    """Whether each code point below 0x30000 is a letter."""
-    return np.array([chr(c).isalpha() for c in range(0x30000)])
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
 
 
 def counts(text: str | None, letters: np.ndarray) -> np.ndarray | None:
@@ -54,7 +55,7 @@ def counts(text: str | None, letters: np.ndarray) -> np.ndarray | None:
     if not text:
         return None
     code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letter = letters[np.minimum(code, len(letters) - 1)]
+    letter = letters[code]
     if not letter.any():
         return None
     gap = np.where(letter, code, 32)
@@ -111,12 +112,17 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 
 
 def training_sample(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """At most ``sample`` texts of each language, by hash order, among the rows that ``learn`` marks."""
-    marked = docs.where("lang IS NOT NULL").where(learn).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = marked.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).select("doc_id")
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(learn).select("doc_id", "lang", "text")
-    rows = rows.join(F.broadcast(chosen), "doc_id", "left_semi").orderBy("doc_id", "text").toPandas()
+    """At most ``sample`` texts of each language, by hash order, among the rows that ``learn`` marks; a doc_id is learned from once.
+
+    Rows are counted first, and only hashes low enough to hold several times the sample are ranked, so that no task gets more of a language.
+    """
+    marked = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").where(learn).select("doc_id", "lang", "text")
+    ids = marked.select("doc_id", "lang").distinct()
+    share = ids.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * sample) / F.count("*")).alias("share"))
+    low = ids.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.col("share") * (1 << 40))
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id")
+    chosen = low.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).select("doc_id", "lang")
+    rows = marked.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).orderBy("doc_id", "lang").toPandas()
     return rows["text"].tolist(), rows["lang"].tolist()
 
 
@@ -124,7 +130,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred (the nearest language), score (its cosine) and rejected, of every row."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        letters = _letters()
+        letters = common.worker_state("letters", _letters)
         for batch in batches:
             names, scores, rejected = [], [], []
             for t in batch["text"]:

@@ -228,6 +228,18 @@ def test_language_of_odd_texts(spark):
     assert all(r.lang_pred == "und" for r in language.predict(docs(spark, ["a"]), language.Model()).collect())
 
 
+def test_letters_beyond_the_third_plane_count(spark):
+    model = language.fit(["the cat", "le chat"] * 3, ["en", "fr"] * 3)
+    (row,) = language.predict(docs(spark, ["\U00030000\U00030001"]).where("doc_id IS NOT NULL"), model).collect()
+    assert row.lang_pred != "und"
+
+
+def test_language_sample_is_bounded_and_whole_where_small(spark):
+    rows = docs(spark, [f"text {i}" for i in range(3000)], ["en" if i else "fr" for i in range(3000)])
+    texts, langs = language.training_sample(rows.unionByName(rows), F.lit(True), sample=100)
+    assert Counter(langs) == {"en": 100, "fr": 1} and len(set(texts)) == 101
+
+
 def test_language_counts_do_not_depend_on_blocks(monkeypatch):
     text, letters = "Le petit chat, dort; là-bas 12 fois. " * 50, language._letters()
     whole = language.counts(text, letters)
