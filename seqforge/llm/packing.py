@@ -39,8 +39,8 @@ SEPARATORS, SPACES = re.compile("[\x1c-\x1f]"), re.compile("[^\\S\x1c-\x1f]+")
 MARKS = ".,;:!?"
 #: Chunks whose ids a worker remembers (about 250 bytes each) before it keeps the recurring ones only; documents tokenised at a time.
 MAX_CHUNKS, AT_ONCE = 300_000, 256
-#: Words of letters tokenised as one text.
-WORDS_AT_ONCE = 1000
+#: Words of other than Latin letters tokenised as one text; Latin ones, whose letters are below LATIN_END and are prepared one by one, go to the tokenizer's model directly.
+WORDS_AT_ONCE, LATIN_END = 1000, "\u0100"
 
 
 @dataclass(frozen=True)
@@ -170,32 +170,47 @@ class WordIds:
         suffix, vocabulary = self.tokenizer.model.end_of_word_suffix, self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        #: What the tokenizer makes of each Latin letter before its model reads the word.
+        prepared = lambda c: self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(c))
+        self.letters = {ord(c): "".join(piece for piece, _ in prepared(c)) for c in map(chr, range(ord(LATIN_END))) if c.isalpha()}
         self.known: dict[str, bytes] = {}
         self.once: set[str] = set()
         self.twice: set[str] = set()
 
     def _learn(self, new: set[str]) -> None:
         """Marks after a word of letters are tokens of their own, so words are remembered without them."""
-        words = {c: c.rstrip(MARKS) for c in new}
-        words = {c: w if w.isalpha() else c for c, w in words.items()}
-        parts = {w for w in words.values() if w not in self.known}
-        parts.update(m for c, w in words.items() if (m := c[len(w) :]) and m not in self.known)
-        plain, other = [p for p in parts if p.isalpha()], [p for p in parts if not p.isalpha()]
-        for at in range(0, len(plain), WORDS_AT_ONCE):
-            some = plain[at : at + WORDS_AT_ONCE]
+        known, tokenize, letters = self.known, self.tokenizer.model.tokenize, self.letters
+        marked, plain, other = [], set(), set()
+        for c in new:
+            w = c.rstrip(MARKS)
+            if not w.isalpha():
+                other.add(c)
+                continue
+            if w != c:
+                marked.append((c, w))
+            if w in known or w in plain:
+                continue
+            if w.isascii() or max(w) < LATIN_END:
+                known[w] = array("I", [t.id for t in tokenize(w.translate(letters))]).tobytes()
+            else:
+                plain.add(w)
+        other.update(m for c, w in marked if (m := c[len(w) :]) not in known)
+        words = list(plain)
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at : at + WORDS_AT_ONCE]
             (encoded,) = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
             ids = np.array(encoded.ids, dtype="<u4")
             ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(ends) != len(some):  # the tokenizer parts a word here that Python takes for one of letters
-                other += some
+                other.update(some)
                 continue
             data = ids.tobytes()
-            self.known.update(zip(some, [data[a:b] for a, b in zip([0, *ends], ends)], strict=True))
-        for part, encoded in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            self.known[part] = array("I", encoded.ids).tobytes()
-        for c, w in words.items():
-            if c != w:
-                self.known[c] = self.known[w] + self.known[c[len(w) :]]
+            known.update(zip(some, [data[a:b] for a, b in zip([0, *ends], ends)], strict=True))
+        rest = list(other)
+        for part, encoded in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[part] = array("I", encoded.ids).tobytes()
+        for c, w in marked:
+            known[c] = known[w] + known[c[len(w) :]]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [chunks_of(t) for t in texts]
@@ -209,7 +224,7 @@ class WordIds:
         known = self.known
         if new := here.difference(known):
             self._learn(new)
-        return [np.frombuffer(b"".join([known[c] for c in chunks]), dtype="<u4") for chunks in split]
+        return [np.frombuffer(b"".join(map(known.__getitem__, chunks)), dtype="<u4") for chunks in split]
 
 
 def _encoder(tokenizer_path: str) -> WordIds:
