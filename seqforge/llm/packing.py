@@ -178,19 +178,20 @@ class WordIds:
         self.twice: set[str] = set()
 
     def _learn(self, new: set[str]) -> None:
-        """Marks after a word of letters are tokens of their own, so words are remembered without them."""
-        known, tokenize, letters = self.known, self.tokenizer.model.tokenize, self.letters
+        """Marks after a word of letters are tokens of their own, so words are remembered without them; not after letters that normalise to a letter and an accent, which joins the marks."""
+        known, tokenize, letters, normal = self.known, self.tokenizer.model.tokenize, self.letters, self.tokenizer.normalizer.normalize_str
         marked, plain, other = [], set(), set()
         for c in new:
             w = c.rstrip(MARKS)
-            if not w.isalpha():
+            latin = w.isascii() or max(w) < LATIN_END
+            if not w.isalpha() or not (latin or normal(w).isalpha()):
                 other.add(c)
                 continue
             if w != c:
                 marked.append((c, w))
             if w in known or w in plain:
                 continue
-            if w.isascii() or max(w) < LATIN_END:
+            if latin:
                 known[w] = array("I", [t.id for t in tokenize(w.translate(letters))]).tobytes()
             else:
                 plain.add(w)

@@ -497,3 +497,15 @@ def test_answers_must_occur(spark):
     words = [f"w{i}" for i in range(60)]
     bench = spark.createDataFrame([(1, " ".join(words[:30]), "w40 w41"), (2, " ".join(words[:30]), "nowhere")], "item_id long, text string, answer string")
     assert {r.item_id for r in decontaminate.leaks(docs(spark, [" ".join(words), "other text"]), bench).collect()} == {1}
+
+
+def test_word_ids_are_the_tokenizers():
+    path = f"{queries.TOKENIZERS}/word_bpe_49k.json"
+    encode = packing.WordIds(path, max_chunks=2000)
+    rng = random.Random(11)
+    letters = "aZ09.,;:!?'s<|>ªµº \x1c\u0301ǅİ\u0958\ufb1dΣςﬁ한ᄒ" + "".join(map(chr, range(0xC0, 0x180)))
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(200))) for _ in range(600)]
+    texts += ["", "x" * 40000, "Don't <|endoftext|>abc", "ÀÉ. straße!", "e\u0301te", "Word word. WORD!"]
+    for _ in range(2):  # learnt, then remembered
+        want = encode.tokenizer.encode_batch(texts, add_special_tokens=False)
+        assert [g.tolist() for g in encode(texts)] == [w.ids for w in want]
