@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Most rows of narrow keys that are broadcast (16 MB of longs); beyond it, joins shuffle.
@@ -76,6 +76,23 @@ def release() -> None:
         trim(0)
 
 
+def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """``df``, which is a kept or a read table, with each row's place from 0 in its group, in ascending order; kept.
+
+    Rows are dealt by ranges of (group, order, own number), so that neither a large group nor
+    rows that are all alike meet in one task; of a group, only one count for each range does.
+    Groups are not null. Rows alike in ``order`` come in any order.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*group, *order, "__row"]
+    dealt = df.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    dealt = cut(dealt.withColumn("__at", F.monotonically_increasing_id()).withColumn("__range", F.shiftright("__at", 33)).drop("__row"))
+    counts = dealt.groupBy(*group, "__range").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = cut(counts.select(*group, "__range", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__base")))
+    return dealt.join(sized(bases), [*group, "__range"]).withColumn(name, F.col("__at") + F.col("__base")).drop("__at", "__range", "__base")
+
+
 def filtered(df: DataFrame, condition: Column) -> DataFrame:
     """``df.where(condition)`` over costly columns: the filter stays above the projection, which pushing it down would evaluate again inside it."""
     return df.withColumn("__row", F.monotonically_increasing_id()).where(condition & (F.col("__row") >= 0)).drop("__row")

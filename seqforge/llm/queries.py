@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard, language, line_dedup, packing, quality, sql_pairs, sql_quality, token_counts, toxicity, warc
+from . import decontaminate, html_text, jaccard, language, line_dedup, merkle, packing, quality, sql_pairs, sql_quality, sql_trees, token_counts, toxicity, warc
 from .common import table
 
 #: Vocabulary files of public tokenizers.
@@ -86,6 +86,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authentication path of every document in the dataset's Merkle manifest, and what rows that were tampered with fold to."""
+    leaves = merkle.dataset_leaves(table(spark, sf_dir, "documents"), _fold(7) == 0)
+    proved = merkle.proofs(*merkle.manifest(leaves))
+    digest = F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256")
+    return proved.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", digest, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_warc": op2_warc,
@@ -98,5 +106,6 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_html_extraction": op10_html_extraction,
+    "op13_merkle": op13_merkle,
 }
-ORACLES = {"op2_warc": sql_pairs.WARC, "op6_ngram_jaccard_join": sql_pairs.JACCARD, "op8_quality_rules": sql_quality.ORACLE}
+ORACLES = {"op2_warc": sql_pairs.WARC, "op6_ngram_jaccard_join": sql_pairs.JACCARD, "op8_quality_rules": sql_quality.ORACLE, "op13_merkle": sql_trees.MERKLE}
