@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard, language, line_dedup, merkle, packing, quality, sql_pairs, sql_quality, sql_trees, token_counts, toxicity, warc
+from . import decontaminate, html_text, jaccard, language, line_dedup, merkle, packing, prefix_trie, quality, sql_pairs, sql_quality, sql_trees, token_counts, toxicity, warc
 from .common import table
 
 #: Vocabulary files of public tokenizers.
@@ -86,6 +86,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all conversations, each rebuilt on the first turns of every twentieth."""
+    own = prefix_trie.turns(table(spark, sf_dir, "conversations"))
+    heads = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    nodes = prefix_trie.trie(*prefix_trie.rebuilt(own, heads, F.col("conv_id") - F.col("conv_id") % 20, 3))
+    return nodes.drop("pos", "end")
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Authentication path of every document in the dataset's Merkle manifest, and what rows that were tampered with fold to."""
     leaves = merkle.dataset_leaves(table(spark, sf_dir, "documents"), _fold(7) == 0)
@@ -106,6 +114,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_html_extraction": op10_html_extraction,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_merkle": op13_merkle,
 }
-ORACLES = {"op2_warc": sql_pairs.WARC, "op6_ngram_jaccard_join": sql_pairs.JACCARD, "op8_quality_rules": sql_quality.ORACLE, "op13_merkle": sql_trees.MERKLE}
+ORACLES = {"op2_warc": sql_pairs.WARC, "op6_ngram_jaccard_join": sql_pairs.JACCARD, "op8_quality_rules": sql_quality.ORACLE, "op12_prefix_trie": sql_trees.TRIE, "op13_merkle": sql_trees.MERKLE}

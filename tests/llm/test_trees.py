@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from seqforge.llm import common, merkle
+from seqforge.llm import common, merkle, prefix_trie
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, g string, place long"
 
@@ -135,3 +136,73 @@ def test_ranked_splits_large_groups_and_equal_rows(spark):
     for r in out.collect():
         places[r.g].append((r.place, r.v))
     assert sorted(p for p, _ in places["a"]) == list(range(300)) and all(p == v for p, v in places["b"]) and places["c"] == [(0, 0)]
+
+
+# conversation trie
+
+TURNS = "conv_id long, turn long, role string, text string, place long, rank string"
+
+
+def plain_trie(rows):
+    """Nodes of rebuilt conversations, from rows (conv_id, turn, role, text), by nested dicts and lists."""
+    own = defaultdict(list)
+    for c, t, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            own[c].append(((t is not None, t or 0), role, hashlib.md5(f"{len(role.encode())}:{role}{text}".encode()).digest(), text))
+    own = {c: [(r, t) for _, r, _, t in sorted(v)] for c, v in own.items()}
+    built = {}
+    for c, turns in own.items():
+        n = zlib.crc32(str(c).encode()) % 4
+        built[c] = own.get(c - c % 20, [])[:n] + turns[n:]
+    members = defaultdict(list)
+    for c, turns in built.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    out = []
+    for path, convs in members.items():
+        below = [p for p in members if p[: len(path)] == path]
+        ends = sorted(c for c in convs if len(built[c]) == len(path))
+        out.append((
+            min(convs), len(path), min(members[path[:-1]]) if path else None, len(convs),
+            sum(len(p) == len(path) + 1 for p in below), sum(not any(len(q) == len(p) + 1 and q[: len(p)] == p for q in below) for p in below),
+            sum((len(members[p]) - 1) * len(re.findall(r"[^\x20\x09-\x0D]+", p[-1][1])) for p in below if p), h(",".join(map(str, ends))),
+        ))
+    return out
+
+
+def trie_rows(spark, rows):
+    table = spark.createDataFrame([(*r, 1, "x") for r in rows], TURNS)
+    own = prefix_trie.turns(table)
+    heads = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    nodes = prefix_trie.trie(*prefix_trie.rebuilt(own, heads, F.col("conv_id") - F.col("conv_id") % 20, 3))
+    return nodes, [tuple(r) for r in nodes.drop("pos", "end").collect()]
+
+
+@pytest.mark.parametrize("piece, block", [(2, 3), (prefix_trie.PIECE, prefix_trie.BLOCK)])
+def test_trie_matches_plain_trie(spark, monkeypatch, piece, block):
+    """Small pieces and blocks give several rounds of ranks and several blocks of sums."""
+    monkeypatch.setattr(prefix_trie, "PIECE", piece)
+    monkeypatch.setattr(prefix_trie, "BLOCK", block)
+    rng = random.Random(piece)
+    words = ["", "a", "a b", "a  b\x0bc", "Ünï", "x y"]
+    rows = [(c, t, rng.choice(["user", "assistant"]), rng.choice(words)) for c in range(45) for t in range(rng.choice([1, 2, 3, 7]))]
+    rows += [(c, t, "user", "same") for c in (100, 101, 102, 115) for t in range(25)]
+    nodes, got = trie_rows(spark, rows)
+    same(got, plain_trie(rows))
+    spans = sorted((r.pos, r.end, r.depth, r.n_leaves) for r in nodes.collect())
+    assert [s[0] for s in spans] == list(range(len(spans)))  # a preorder
+    for pos, end, depth, _ in spans:
+        assert all(spans[k][2] > depth for k in range(pos + 1, end + 1)) and (end + 1 == len(spans) or spans[end + 1][2] <= depth)
+
+
+def test_trie_of_odd_tables(spark):
+    """Nulls in any column, ties, repeated rows, conversations without turns or without their twentieth, negative ids, no row."""
+    rows = [(None, 1, "user", "lost"), (3, None, None, None), (3, None, "user", "b"), (3, 1, "user", "c"), (3, 1, "user", "c"), (3, 1, "bot", "z " * 3000)]
+    rows += [(c, 1, "user", "one") for c in (20, 21, 22, 23, 24, 47, 48, 49, 50)] + [(-7, 0, "user", "x"), (-20, 0, "user", "y"), (-20, 1, "", "y")]
+    plain = plain_trie([r for r in rows if r[0] is None or r[0] >= 0])
+    same(trie_rows(spark, [r for r in rows if r[0] is None or r[0] >= 0])[1], plain)
+    assert any(r[1] == 0 and r[7] != h("") for r in plain)  # a conversation without turns
+    assert len(trie_rows(spark, rows)[1]) > len(plain)
+    assert trie_rows(spark, [])[1] == []
+    same(trie_rows(spark, rows[1:2])[1], plain_trie(rows[1:2]))
