@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard, language, line_dedup, merkle, packing, prefix_trie, quality, sql_pairs, sql_quality, sql_trees, token_counts, toxicity, warc
-from .common import table
+from . import decontaminate, html_text, jaccard, language, line_dedup, merkle, packing, prefix_trie, quality, sql_pairs, sql_quality, sql_trees, token_counts, token_files, toxicity, warc
+from .common import shared_dir, table
 
 #: Vocabulary files of public tokenizers.
 WORDS, PIECES = (public_tokenizers.path(name) for name in ("word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -86,6 +87,15 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document in binary shards, found again by its key through the index and read back."""
+    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), path, WORDS)
+    found = token_files.read(spark, path, token_files.lookup(spark, path, token_files.keys(spark, path)))
+    size = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return found.select("doc_id", "start", size, F.crc32("ids").alias("ids_crc32"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the trie of all conversations, each rebuilt on the first turns of every twentieth."""
     own = prefix_trie.turns(table(spark, sf_dir, "conversations"))
@@ -114,6 +124,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_html_extraction": op10_html_extraction,
+    "op11_token_files": op11_token_files,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_merkle": op13_merkle,
 }
