@@ -1,6 +1,6 @@
 """Registry of the runnable queries and the SQL each one is held against."""
 
-from seqforge.plans import chunks, degradations, frames, sequences
+from seqforge.plans import chunks, degradations, frames, render, sequences
 
-QUERIES: dict = {**frames.QUERIES, **chunks.QUERIES, **degradations.QUERIES, **sequences.QUERIES}
-ORACLES: dict[str, str] = {**frames.ORACLES, **chunks.ORACLES, **degradations.ORACLES, **sequences.ORACLES}
+QUERIES: dict = {**frames.QUERIES, **chunks.QUERIES, **degradations.QUERIES, **sequences.QUERIES, **render.QUERIES}
+ORACLES: dict[str, str] = {**frames.ORACLES, **chunks.ORACLES, **degradations.ORACLES, **sequences.ORACLES, **render.ORACLES}

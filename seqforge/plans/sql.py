@@ -18,6 +18,15 @@ stitched AS (SELECT seq, 1 AS frame_no, 16 AS width, 16 AS height,
     WHEN i % 16 < 8 THEN c[(i // 16 - 8) * 8 + i % 16 + 1] ELSE d[(i // 16 - 8) * 8 + i % 16 - 7] END) AS pixels FROM four)"""
 )
 
+RECORDINGS = FRAMES + """, recordings AS (SELECT seq AS video_id, * EXCLUDE (seq) FROM frames WHERE label <> 7)"""
+
+SHOTS = (
+    FRAMES
+    + """, shots AS (SELECT n // 7 AS video_id, (n % 7 + 1)::INTEGER AS frame_no, 8 AS width, 8 AS height, blue, green, red FROM (SELECT vec_id // 3 AS n, max(pixels) FILTER (vec_id % 3 = 0) AS blue,
+  max(pixels) FILTER (vec_id % 3 = 1) AS green, max(pixels) FILTER (vec_id % 3 = 2) AS red, max(label) FILTER (vec_id % 3 = 0) AS label FROM frames GROUP BY 1)
+  WHERE blue IS NOT NULL AND green IS NOT NULL AND red IS NOT NULL AND label <> 7)"""
+)
+
 SIGNAL = """signal AS (SELECT user_id AS video_id, row_number() OVER w - 1 AS frame_no, abs(value - lag(value) OVER w) AS score
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
 
@@ -59,3 +68,27 @@ def decimal(n: str, places: int) -> str:
 
 def even(n: str) -> str:
     return f"greatest(({n}) // 2 * 2, 2)::BIGINT"
+
+
+def cells(name: str, source: str, key: str, values: str, size: str = "width, height") -> str:
+    """A table of pixels: key, size, x, y and a value ``v`` from an array."""
+    w = size.split(", ")[0]
+    return f"{name} AS (SELECT {key}, {size}, i % {w} AS x, i // {w} AS y, v::BIGINT AS v FROM (SELECT {key}, {size}, unnest({values}) AS v, unnest(range(len({values}))) AS i FROM {source}))"
+
+
+def texted(source: str, keys: str, column: str = "v", name: str = "pixels") -> str:
+    """One row for each frame: its pixels in order, as text."""
+    return f"SELECT {keys}, string_agg({column}::VARCHAR, ',' ORDER BY y, x) AS {name} FROM {source} GROUP BY {keys}"
+
+
+def box(name: str, source: str, key: str, rx: str, ry: str | None = None) -> str:
+    """sum ``s`` and number ``n`` of the pixels within rx columns and ry rows."""
+    return f"""{name} AS (SELECT a.*, t.s, t.n FROM {source} a JOIN (SELECT a.{key} AS k, a.x, a.y, sum(b.v)::BIGINT AS s, count(*) AS n FROM {source} a JOIN {source} b
+  ON a.{key} = b.{key} AND abs(a.x - b.x) <= a.{rx} AND abs(a.y - b.y) <= a.{ry or rx} GROUP BY ALL) t ON a.{key} = t.k AND a.x = t.x AND a.y = t.y)"""
+
+
+def scramble(source: str, column: str, out: str) -> str:
+    """``source`` with one step of a permuted congruential generator on a 32-bit column."""
+    one = f"SELECT *, ({column} * 747796405 + 2891336453) & 4294967295 AS t1 FROM ({source})"
+    two = f"SELECT *, (xor(t1 >> ((t1 >> 28) + 4), t1) * 277803737) & 4294967295 AS t2 FROM ({one})"
+    return f"SELECT * EXCLUDE (t1, t2), xor(t2 >> 22, t2) AS {out} FROM ({two})"

@@ -48,6 +48,20 @@ def stitched_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return four.select("seq", F.lit(1).alias("frame_no"), F.lit(16).alias("width"), F.lit(16).alias("height"), F.concat(*rows).alias("pixels"))
 
 
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gapped frames, with their sequence as the recording (video_id)."""
+    return gapped_frames(spark, sf_dir).withColumnRenamed("seq", "video_id")
+
+
+def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour frames: three consecutive vectors are blue, green and red, seven frames a recording (video_id); without those whose blue has label 7."""
+    rows = embedding_frames(spark, sf_dir).select(F.expr("vec_id div 3").alias("n"), (F.col("vec_id") % 3).alias("k"), "pixels", "label")
+    channel = lambda k: F.max(F.when(F.col("k") == k, F.col("pixels")))
+    whole = rows.groupBy("n").agg(channel(0).alias("blue"), channel(1).alias("green"), channel(2).alias("red"), F.max(F.when(F.col("k") == 0, F.col("label"))).alias("label"))
+    whole = whole.where("blue IS NOT NULL AND green IS NOT NULL AND red IS NOT NULL AND label <> 7")
+    return whole.select(F.expr("n div 7").alias("video_id"), (F.col("n") % 7 + 1).cast("int").alias("frame_no"), F.lit(8).alias("width"), F.lit(8).alias("height"), "blue", "green", "red")
+
+
 def conversation_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations are sequences, turns their frames from 1."""
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("seq"), (F.col("turn") + 1).alias("frame_no"))
