@@ -20,9 +20,9 @@ def relative(files: DataFrame, folder: str) -> DataFrame:
     return files.select(F.expr(f"substring(path, instr(path, '{folder}') + {len(folder.rstrip('/')) + 1})").alias("rel_path")).distinct()
 
 
-def gray_frames(spark: SparkSession, folder: str) -> DataFrame:
+def gray_frames(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """Frames of the images of a folder: seq and frame_no from the file name, size, gray pixels. Unreadable files are left out."""
-    images = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*")
+    images = spark.read.format("image").options(dropInvalid=True, recursiveFileLookup=recursive).load(folder).select("image.*")
     stem = names.basename(F.col("origin"))
     channel = lambda p, c: F.conv(F.hex(F.substring("data", p * F.col("nChannels") + c + 1, 1)), 16, 10).cast("int")  # noqa: E731  bytes are blue, green, red
     gray = F.transform(
