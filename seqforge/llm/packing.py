@@ -37,10 +37,10 @@ PER_PARTITION = 1 << 40
 SEPARATORS, SPACES = re.compile("[\x1c-\x1f]"), re.compile("[^\\S\x1c-\x1f]+")
 #: Marks that the word tokenizer cuts from a word of letters.
 MARKS = ".,;:!?"
-#: Chunks whose ids a worker remembers (about 250 bytes each) before it keeps the recurring ones only; documents tokenised at a time.
-MAX_CHUNKS, AT_ONCE = 300_000, 256
-#: Words of other than Latin letters tokenised as one text; Latin ones, whose letters are below LATIN_END and are prepared one by one, go to the tokenizer's model directly.
-WORDS_AT_ONCE, LATIN_END = 1000, "\u0100"
+#: Chunks whose ids a worker remembers (about 250 bytes each), of all but one text; documents tokenised at a time.
+MAX_CHUNKS, AT_ONCE = 500_000, 256
+#: Words of letters below it, which are prepared one by one, go to the tokenizer's model directly.
+LATIN_END = "\u0100"
 
 
 @dataclass(frozen=True)
@@ -156,76 +156,52 @@ def chunks_of(text: str) -> list[str]:
     return text.split()
 
 
-class WordIds:
+class WordIds(dict):
     """texts -> ids, for a tokenizer that lower-cases and drops white space: each chunk between spaces is tokenised once and remembered.
 
-    Of more than ``max_chunks``, those stay that two calls held since the last time.
+    The ids of a chunk that is not there are made when they are asked for. Once half of
+    ``max_chunks`` are there they become the older half, of which those stay that are asked
+    for again before the newer half is full.
     """
 
     def __init__(self, tokenizer_path: str, max_chunks: int = MAX_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.max_chunks = Tokenizer.from_file(tokenizer_path), max_chunks
-        suffix, vocabulary = self.tokenizer.model.end_of_word_suffix, self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        super().__init__()
+        self.tokenizer, self.half, self.older = Tokenizer.from_file(tokenizer_path), max(1, max_chunks // 2), {}
+        self.tokenize, self.normal = self.tokenizer.model.tokenize, self.tokenizer.normalizer.normalize_str
         #: What the tokenizer makes of each Latin letter before its model reads the word.
-        prepared = lambda c: self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(c))
+        prepared = lambda c: self.tokenizer.pre_tokenizer.pre_tokenize_str(self.normal(c))
         self.letters = {ord(c): "".join(piece for piece, _ in prepared(c)) for c in map(chr, range(ord(LATIN_END))) if c.isalpha()}
-        self.known: dict[str, bytes] = {}
-        self.once: set[str] = set()
-        self.twice: set[str] = set()
 
-    def _learn(self, new: set[str]) -> None:
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self._made(chunk)
+        self[chunk] = ids
+        return ids
+
+    def _made(self, chunk: str) -> bytes:
         """Marks after a word of letters are tokens of their own, so words are remembered without them; not after letters that normalise to a letter and an accent, which joins the marks."""
-        known, tokenize, letters, normal = self.known, self.tokenizer.model.tokenize, self.letters, self.tokenizer.normalizer.normalize_str
-        marked, plain, other = [], set(), set()
-        for c in new:
-            w = c.rstrip(MARKS)
-            latin = w.isascii() or max(w) < LATIN_END
-            if not w.isalpha() or not (latin or normal(w).isalpha()):
-                other.add(c)
-                continue
-            if w != c:
-                marked.append((c, w))
-            if w in known or w in plain:
-                continue
-            if latin:
-                known[w] = array("I", [t.id for t in tokenize(w.translate(letters))]).tobytes()
-            else:
-                plain.add(w)
-        other.update(m for c, w in marked if (m := c[len(w) :]) not in known)
-        words = list(plain)
-        for at in range(0, len(words), WORDS_AT_ONCE):
-            some = words[at : at + WORDS_AT_ONCE]
-            (encoded,) = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
-            ids = np.array(encoded.ids, dtype="<u4")
-            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-            if len(ends) != len(some):  # the tokenizer parts a word here that Python takes for one of letters
-                other.update(some)
-                continue
-            data = ids.tobytes()
-            known.update(zip(some, [data[a:b] for a, b in zip([0, *ends], ends)], strict=True))
-        rest = list(other)
-        for part, encoded in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[part] = array("I", encoded.ids).tobytes()
-        for c, w in marked:
-            known[c] = known[w] + known[c[len(w) :]]
+        word = chunk.rstrip(MARKS)
+        if word.isalpha():
+            latin = word.isascii() or max(word) < LATIN_END
+            if latin or self.normal(word).isalpha():
+                if word != chunk:
+                    return self[word] + self[chunk[len(word) :]]
+                if latin:
+                    return array("I", [t.id for t in self.tokenize(word.translate(self.letters))]).tobytes()
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [chunks_of(t) for t in texts]
-        here = set().union(*split)
-        self.twice |= self.once & here
-        self.once |= here
-        if len(self.known) > self.max_chunks:
-            keep = self.twice if len(self.twice) <= self.max_chunks // 2 else here
-            self.known = {c: v for c, v in self.known.items() if c in keep}
-            self.once, self.twice = set(self.known), set()
-        known = self.known
-        if new := here.difference(known):
-            self._learn(new)
-        return [np.frombuffer(b"".join(map(known.__getitem__, chunks)), dtype="<u4") for chunks in split]
+        found = []
+        for text in texts:
+            found.append(np.frombuffer(b"".join(map(self.__getitem__, chunks_of(text))), dtype="<u4"))
+            if len(self) > self.half:
+                self.older = dict(self)
+                self.clear()
+        return found
 
 
 def _encoder(tokenizer_path: str) -> WordIds:
