@@ -86,7 +86,7 @@ def edges(pixels: Column, width: Column, height: Column, limit: int = 30) -> Col
     """Pixels whose 3 x 3 Sobel magnitude exceeds the limit; borders mirror without repeating the edge.
 
     Nine neighbours of each pixel are beyond what array expressions do in good time (some ten
-    microseconds a pixel), so frames go to numpy as Arrow batches. Null pixels give null, no pixels 0.
+    microseconds a pixel), so frames go to numpy as Arrow batches. Null pixels or sizes give null, no pixels 0.
     """
 
     def strong(px: np.ndarray, w: int, h: int) -> int:
@@ -99,6 +99,6 @@ def edges(pixels: Column, width: Column, height: Column, limit: int = 30) -> Col
 
     @F.pandas_udf("long")
     def counted(px: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None else strong(p, int(a), int(b)) for p, a, b in zip(px, w, h, strict=True)], dtype="Int64")
+        return pd.Series([None if p is None or pd.isna(a) or pd.isna(b) else strong(p, int(a), int(b)) for p, a, b in zip(px, w, h, strict=True)], dtype="Int64")
 
     return counted(pixels, width, height)

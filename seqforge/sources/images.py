@@ -40,15 +40,16 @@ def gray_frames(spark: SparkSession, folder: str, recursive: bool = False) -> Da
 
 def inputs(spark: SparkSession, path: str, extensions: tuple[str, ...] = names.VIDEO_EXTENSIONS) -> DataFrame:
     """path, length of a single file, whatever its name, or of a folder's files with the extensions, in order of path."""
-    single = bool(names_end(path))
-    files = listing(spark, path, None if single else extensions)
-    return files.orderBy("path")
+    return listing(spark, path, extensions if is_folder(spark, path) else None).orderBy("path")
 
 
-def names_end(path: str) -> str:
-    """The extension of a path's last part, or nothing."""
-    last = path.rstrip("/").rsplit("/", 1)[-1]
-    return last.rsplit(".", 1)[1] if "." in last[1:] else ""
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """What the path's file system says; a path that is not there is an error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        raise ConfigError(f"no such file or folder: {path}")
+    return files.getFileStatus(place).isDirectory()
 
 
 def existing_chunks(spark: SparkSession, high: str, low: str) -> DataFrame:

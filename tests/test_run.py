@@ -91,3 +91,52 @@ def test_run_from_settings(spark, tmp_path):
     with pytest.raises(ConfigError):
         (tmp_path / "none").mkdir()
         pipeline.run(spark, Settings(input=f"{tmp_path}/none"), probes, encode)
+
+
+def test_videos_are_numbered_densely_by_path(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"v{k:03d}.mp4").write_bytes(b"1")
+    probe = json.dumps({"format": {"duration": "4.0"}, "streams": [{"codec_type": "video", "r_frame_rate": "25/1"}]})
+    probes = images.listing(spark, str(tmp_path)).selectExpr("path", f"'{probe}' AS json")
+    got = sorted((r.path, r.video_id) for r in pipeline.videos(spark, Settings(input=str(tmp_path)), probes).collect())
+    assert [v for _, v in got] == list(range(1, 301))
+
+
+def test_a_folder_is_what_its_file_system_says(spark, tmp_path):
+    dotted = tmp_path / "clips.2024"
+    dotted.mkdir()
+    for name in ("a.mp4", "b.txt"):
+        (dotted / name).write_bytes(b"1")
+    (tmp_path / "noext").write_bytes(b"1")
+    names = lambda p: [r.path.rsplit("/", 1)[-1] for r in images.inputs(spark, str(p)).collect()]
+    assert names(dotted) == ["a.mp4"] and names(tmp_path / "noext") == ["noext"] and names(dotted / "b.txt") == ["b.txt"]
+    with pytest.raises(ConfigError, match="no such"):
+        images.inputs(spark, str(tmp_path / "absent"))
+
+
+def test_edges_of_null_sizes(spark):
+    from pyspark.sql import functions as F
+
+    from seqforge.functions import pixels
+
+    rows = spark.createDataFrame([([0, 255, 0, 255], None, 2), ([0, 255, 0, 255], 2, None), (None, 2, 2), ([], 0, 0), ([0, 255, 0, 255], 2, 2)], "p array<int>, w int, h int")
+    assert [r[0] for r in rows.select(pixels.edges(F.col("p"), F.col("w"), F.col("h"))).collect()] == [None, None, None, 0, 0]
+
+
+def test_finish_writes_sequences_and_judged_tiles(spark, tmp_path):
+    """One chunk that moves and one that stands still; the still one's tiles go, on both sides."""
+    frame = lambda c, f: [(x * 37 + x * x * 11 + (f * 90 if c == 1 else 0)) % 256 for x in range(64)]
+    schema = "chunk_no long, src_frame int, width int, height int, pixels array<int>"
+    high = spark.createDataFrame([(c, f, 8, 8, frame(c, f)) for c in (1, 2) for f in range(1, 7)], schema)
+    low = high.selectExpr("chunk_no", "src_frame", "4 AS width", "4 AS height", "slice(pixels, 1, 16) AS pixels")
+    s = Settings(sequence_length=3, extract_full_chunks=True, post_processing=True, tile_width=4, tile_height=4, edge_threshold=0, variance_threshold=0, min_motion=5)
+    judged = pipeline.finish(high, low, 25.0, s, str(tmp_path / "out"))
+    got = {r.seq: (r.status, r.reason) for r in judged.collect()}
+    assert len(got) == 16  # four sequences, one window of four tiles each
+    assert {got[k] for k in range(1, 9)} == {("kept", None)} and {got[k] for k in range(9, 17)} == {("bad", "motion")}
+    found = lambda part: {"/".join(str(p).split("/")[-2:]) for p in (tmp_path / "out" / part).rglob("*.png")}
+    assert len(found("sequences")) == 24
+    want = {f"0/show{k:05d}_Frame{f:05d}.png" for k in range(1, 9) for f in (1, 2, 3)}
+    assert found("tiles/hr") == want == found("tiles/lr")
+    plain = pipeline.finish(high, low, 25.0, Settings(sequence_length=3, extract_full_chunks=True), str(tmp_path / "plain"))
+    assert sorted(tuple(r) for r in plain.collect()) == [(k, "kept", None) for k in (1, 2, 3, 4)] and not (tmp_path / "plain" / "tiles").exists()
