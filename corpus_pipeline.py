@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqforge.llm import common, decontaminate, jaccard, line_dedup, packing, quality
@@ -10,44 +10,43 @@ from seqforge.llm.queries import WORDS
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the risk-controlled cutoffs keep."""
-    signals = quality.holdout_signals(docs)
-    judged = quality.judge(signals, quality.cutoffs(signals, common.table(spark, sf_dir, "labels")))
-    rejected = common.cut(judged.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (quality.text_hash("text") == F.col("__hash"))
-    return docs.join(common.sized(rejected), same, "left_anti").select(*docs.columns)
+    """Documents that the base rules and the risk-controlled cutoffs keep. Signals are stored beside the rows, so that no join drops any."""
+    own = docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", "text", quality.text_hash("text").alias("text_hash"))
+    signals = common.stored(quality.with_signals(own).drop("text"))
+    limits = quality.cutoffs(signals.drop("__doc"), common.table(spark, sf_dir, "labels"))
+    return quality.judge(signals, common.cut(limits)).where("kept").select("__doc.*")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that occur before; those of which nothing is left go."""
-    done = line_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
-    left = common.filtered(done, F.expr("__n_dropped = 0 OR text IS NULL OR text RLIKE '\\\\S'"))
-    return left.select(*docs.columns)
+    own = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text")
+    done = line_dedup.without_repeats(own, "n_lines", "n_dropped")
+    left = common.filtered(done, F.expr(r"n_dropped = 0 OR text IS NULL OR text RLIKE '\\S'"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return left.select(*[new[c].alias(c) if c in new else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
-def _with_row(docs: DataFrame) -> DataFrame:
-    """Rows of one doc_id but different texts are judged apart, and rows without one as well: ``__row`` is a hash of both."""
-    return docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+def _row() -> Column:
+    """What a row is known by: rows of one doc_id but different texts are judged apart, and rows without one as well."""
+    return F.xxhash64("doc_id", "text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents, the one of the smallest doc_id (null comes last); equal rows stay or go together."""
-    rows = _with_row(docs)
+    rows = docs.select(_row().alias("__row"), "doc_id", "text")
     groups = common.cut(jaccard.join_similar(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "class_id").distinct())
     shared = common.cut(groups.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id"))
     members = common.cut(groups.join(common.sized(shared), "class_id"))
     named = rows.select("__row", "doc_id").join(common.sized(members), "__row")
     first = named.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")).alias("first"))
     others = common.cut(members.join(first, "class_id").where("__row != first.__row").select("__row"))
-    return rows.join(common.sized(others), "__row", "left_anti").select(*docs.columns)
+    return common.without(docs, _row(), others)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
-    rows = _with_row(docs)
-    leaked = decontaminate.leaks(rows.select(F.col("__row").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
-    leaked = common.cut(leaked.select(F.col("doc_id").alias("__row")).distinct())
-    return rows.join(common.sized(leaked), "__row", "left_anti").select(*docs.columns)
+    leaked = decontaminate.leaks(docs.select(_row().alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
+    return common.without(docs, _row(), common.cut(leaked.select("doc_id").distinct()))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import ctypes
 import sys
-import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where unset."""
+    """``spark.checkpoint.dir`` of the session; where that is unset, a folder of the warehouse, which driver and executors share as well."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_kept")
     return context.getCheckpointDir()
 
 
+def file_at(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that a lost executor costs no rerun."""
     shared_dir(df.sparkSession)
@@ -93,6 +101,58 @@ def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "place
     return dealt.join(sized(bases), [*group, "__range"]).withColumn(name, F.col("__at") + F.col("__base")).drop("__at", "__range", "__base")
 
 
+def without(docs: DataFrame, row: Column, gone: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``docs`` without the rows whose 64-bit hash ``row`` is in the kept table ``gone`` (one column, distinct); the rows themselves are never shuffled.
+
+    Few hashes are broadcast. Of many, hashes meet the rows' places in their files instead, places are
+    written by file, and each task leaves out the places of the file that it reads. For that,
+    docs that are no scan of files are stored first.
+    """
+    (name,) = gone.columns
+    columns = docs.columns
+    hashed, file, place = (fresh(c, columns) for c in ("__hash", "__file", "__place"))
+    if gone.count() <= max_rows:
+        marked = docs.withColumn(hashed, row)
+        return marked.join(F.broadcast(gone), marked[hashed] == gone[name], "left_anti").drop(hashed)
+    at = [F.md5("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place)]
+    try:
+        placed = docs.select("*", *at)
+    except AnalysisException:
+        docs = stored(docs)
+        placed = docs.select("*", *at)
+    marks = f"{shared_dir(docs.sparkSession)}/{uuid.uuid4().hex}"
+    named = placed.select(F.col(file).alias("folder"), F.col(place).alias("place"), row.alias("row_hash"))
+    chosen = named.join(gone, named["row_hash"] == gone[name]).select("folder", "place")
+    chosen.repartition("folder").write.partitionBy("folder").parquet(marks)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}
+        for batch in batches:
+            keep = np.ones(len(batch), dtype=bool)
+            files, places = batch.column(file).to_numpy(zero_copy_only=False), batch.column(place).to_numpy()
+            for one in np.unique(files):
+                if one not in known:
+                    known = {one: _places(marks, one)}  # a task reads one file after another
+                keep &= (files != one) | ~np.isin(places, known[one])
+            yield batch.select(columns).filter(pa.array(keep))
+
+    return placed.mapInArrow(task, docs.schema)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores more as it takes to be none of the columns."""
+    while name in columns:
+        name += "_"
+    return name
+
+
+def _places(marks: str, folder: str) -> np.ndarray:
+    where, path = file_at(f"{marks}/folder={folder}")
+    if where.get_file_info(path).type == fs.FileType.NotFound:
+        return np.array([], dtype=np.int64)
+    return pq.read_table(path, filesystem=where, columns=["place"], partitioning=None)["place"].to_numpy()
+
+
 def filtered(df: DataFrame, condition: Column) -> DataFrame:
     """``df.where(condition)`` over costly columns: the filter stays above the projection, which pushing it down would evaluate again inside it."""
     return df.withColumn("__row", F.monotonically_increasing_id()).where(condition & (F.col("__row") >= 0)).drop("__row")

@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_CHARS, MAX_EDITS, CHARS_PER_EDIT = 1, 2, 40
-#: Letters whose counts form the signature of a line, five bits each.
+#: Letters whose counts form the signature of a line, five bits each.
 LETTERS = "etaonirshdlu"
-#: Positions of dropped lines that are broadcast at most, with their documents.
-MAX_POSITIONS = 4 * common.MAX_BROADCAST_ROWS
+#: Bytes of dropped positions that are broadcast at most: of a position, and of a document with its key and array.
+MAX_BYTES, POSITION_BYTES, ROW_BYTES = 32 << 20, 4, 64
 
 
 def allowed_edits(length: Column) -> Column:
@@ -202,24 +202,25 @@ def dropped_positions(docs: DataFrame) -> DataFrame:
     return common.cut(rows.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("drops")))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with the duplicate lines taken out of ``text``; adds __n_lines and __n_dropped."""
-    drops = dropped_positions(docs).withColumnRenamed("drops", "__drops")
-    total = drops.agg(F.sum(F.size("__drops"))).first()[0] or 0
-    marked = docs.join(F.broadcast(drops) if total <= MAX_POSITIONS else drops, "doc_id", "left")
-    marked = marked.withColumn("__lines", F.split("text", "\n"))
+def without_repeats(docs: DataFrame, n_lines: str, n_dropped: str) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with the duplicate lines taken out of ``text``; adds two counts under these names, which replace columns of theirs."""
+    drops = dropped_positions(docs)
+    size = drops.agg(F.sum(POSITION_BYTES * F.size("drops") + ROW_BYTES)).first()[0] or 0
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    marked = rows.join(F.broadcast(drops) if size <= MAX_BYTES else drops, "doc_id", "left").withColumn("lines", F.split("text", "\n"))
     # places of equal lines of one document, in order of their hash: all but the first repeat
-    placed = F.sort_array(F.filter(F.transform("__lines", lambda x, i: F.when(F.length(x) >= MIN_CHARS, F.struct(F.xxhash64(x).alias("h"), i.alias("i")))), lambda s: s.isNotNull()))
-    marked = marked.withColumn("__placed", placed)
-    repeats = F.transform("__placed", lambda s, j: F.when(s["h"] == F.get(F.col("__placed"), j - 1)["h"], s["i"]))
-    gone = F.array_union(F.coalesce("__drops", F.array().cast("array<int>")), F.array_compact(repeats))
-    marked = marked.withColumn("__kept", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), gone))
-    text = F.array_join(F.transform("__kept", lambda i: F.get(F.col("__lines"), i)), "\n")
-    out = {"text": text, "__n_lines": F.size("__lines").cast("long"), "__n_dropped": (F.size("__lines") - F.size("__kept")).cast("long")}
-    return marked.withColumns({c: F.when(F.col("text").isNotNull(), e) for c, e in out.items()}).drop("__drops", "__lines", "__placed", "__kept")
+    placed = F.sort_array(F.filter(F.transform("lines", lambda x, i: F.when(F.length(x) >= MIN_CHARS, F.struct(F.xxhash64(x).alias("h"), i.alias("i")))), lambda s: s.isNotNull()))
+    marked = marked.withColumn("placed", placed)
+    repeats = F.transform("placed", lambda s, j: F.when(s["h"] == F.get(F.col("placed"), j - 1)["h"], s["i"]))
+    gone = F.array_union(F.coalesce("drops", F.array().cast("array<int>")), F.array_compact(repeats))
+    marked = marked.withColumn("kept", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone))
+    text = F.array_join(F.transform("kept", lambda i: F.get(F.col("lines"), i)), "\n")
+    own = {n_lines: F.size("lines").cast("long"), n_dropped: (F.size("lines") - F.size("kept")).cast("long")}
+    counts = [F.when(F.col("text").isNotNull(), e).alias(c) for c, e in own.items()]
+    others = [F.when(F.col("text").isNotNull(), text).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in own]
+    return marked.select(*others, *counts)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without duplicate lines, with n_lines and n_dropped (which replace columns of these names)."""
-    done = without_repeats(docs)
-    return done.withColumns({"n_lines": F.col("__n_lines"), "n_dropped": F.col("__n_dropped")}).drop("__n_lines", "__n_dropped")
+    return without_repeats(docs, "n_lines", "n_dropped")

@@ -27,7 +27,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,13 +41,8 @@ BITS_PER_KEY, MAX_LEVELS = 2, 64
 READ_BYTES = 1 << 20
 
 
-def file_at(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
-    return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
-
-
 def _written(path: str):
-    where, name = file_at(path)
+    where, name = common.file_at(path)
     where.create_dir(name.rsplit("/", 1)[0], recursive=True)
     return where.open_output_stream(name)
 
@@ -241,7 +235,7 @@ def lookup(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
         columns = ["doc_id", "copy", "shard", "at", "count"]
         if files.empty or group.empty:
             return pd.DataFrame(columns=columns)
-        where, name = file_at(index_file(path, key[0], int(files["attempt"].iloc[0])))
+        where, name = common.file_at(index_file(path, key[0], int(files["attempt"].iloc[0])))
         with where.open_input_file(name) as data:
             found, own = index_find(data.read(), *[group[c].to_numpy().view(np.uint64) for c in ("hash", "print")])
         return group[own][["doc_id", "copy"]].assign(**{c: found[c][own].astype(np.int64) for c in columns[2:]})
@@ -256,7 +250,7 @@ class ShardReader:
     """Spans of ids of one shard, read in large pieces as long as they follow one another."""
 
     def __init__(self, path: str):
-        where, name = file_at(path)
+        where, name = common.file_at(path)
         self.file, self.first, self.data = where.open_input_file(name), 0, b""
         magic, self.width, _ = struct.unpack(HEADER, self.file.read_at(HEADER_BYTES, 0))
         if magic != IDS_MAGIC:

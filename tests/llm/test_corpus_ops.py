@@ -259,3 +259,28 @@ def test_stages_with_clashing_and_null_columns(spark):
             assert all(r.stratum == 7 and r.n_dropped == 7 for r in out.collect())
     assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, frame, SF).collect()}[2] == line
     assert {r.doc_id for r in corpus_pipeline.packed(spark, frame, SF).collect()} == {1, 2, 3, None}
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    frame = docs(spark, ["one line here\none line here", "other"]).withColumns({c: F.lit(7) for c in ("__lines", "__drops", "__placed", "__kept", "row", "lines", "kept", "drops", "__n_dropped")})
+    out = line_dedup.dedup_lines(frame)
+    assert set(out.columns) == {*frame.columns, "n_lines", "n_dropped"}
+    got = {r.doc_id: r for r in out.collect()}
+    assert all(got[0][c] == 7 for c in ("__lines", "__drops", "__placed", "__kept", "row", "lines", "kept", "drops", "__n_dropped")) and got[0].n_dropped == 1
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_rows_are_dropped_without_a_shuffle_of_them(spark, tmp_path, limit):
+    from pyspark.sql import functions as F
+
+    frame = docs(spark, [f"text {i % 40}" for i in range(200)]).withColumn("folder", F.lit("mine")).repartition(5)
+    frame.write.parquet(str(tmp_path / "docs"))
+    gone = common.cut(spark.range(0, 200, 7).select(F.xxhash64("id").alias("h")))
+    for table in (spark.read.parquet(str(tmp_path / "docs")), frame):
+        out = common.without(table, F.xxhash64("doc_id"), gone, max_rows=limit)
+        assert out.columns == frame.columns
+        assert sorted(r.doc_id for r in out.collect()) == [i for i in range(200) if i % 7] and {r.folder for r in out.collect()} == {"mine"}
+        assert limit or "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        assert common.without(table.limit(0), F.xxhash64("doc_id"), gone, max_rows=limit).collect() == []
