@@ -1,20 +1,25 @@
 """Main text of web pages, with site templates removed.
 
-Every element subtree of a page gets a hash of its tag, attributes and content. Spark
-counts the hashes per host; those that recur on many pages of a host are its template, and
-a second pass deletes these subtrees. What is boilerplate by its own mark-up goes too:
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments, by tag, role or class. A page with an ``article`` or ``main`` element gives the
-blocks of that element; what is inside it is the article's own text and is no template even
-if it recurs, wrappers and paragraphs alike. A page of which nothing would be left is a mirror
-of others, not their template, and keeps its text.
-
-Both passes read the html where it lies; only (host, hash) counts are shuffled.
+Every element subtree that holds text gets a hash of its tag, attributes and content. Spark
+counts, per host, the pages whose text differs in what is beside the subtree; a subtree that
+recurs on many such pages is the host's template, and a second pass deletes it. Pages that are copies
+of each other do not differ and so count once: a mirror is no template. Inside an ``article`` or
+``main`` element, what is beside the subtree is the rest of that element; paragraphs, items and
+headings there are the article's own even if they recur, and so is what holds most of its text.
+Elsewhere only paragraphs of 25 words or more are.
+
+What is boilerplate by its own mark-up goes too: menus, headers, footers, sidebars, notices,
+adverts, scripts, styles and reader comments, by tag, role or class. Inside an article only
+classes of adverts, menus, comments and the like decide, and never about a paragraph. A form goes unless it
+holds an article or most of the page. If ``article`` and ``main`` elements hold a third of the text that is
+left, the page's text is theirs, else all of it. A page that is template alone has no text.
+
+Both passes read the html where it lies; only (host, hash, hash of the rest) are shuffled.
 
 Defined results: null, empty and text-free html give an empty text; null or unparsable urls
 have no host and no template; broken mark-up is read as browsers do: a tag whose quote is never
 closed swallows the rest of the page and is no text; repeated rows give equal rows and count as
-pages each.
+one page.
 """
 
 from __future__ import annotations
@@ -31,8 +36,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A subtree is a template if it is on so many pages of its host at least, and on this share of them or, on larger hosts, on the square root of their number.
+#: A subtree is a template if it is on so many different pages of its host at least, and on this share of them or, on larger hosts, on the square root of their number.
 MIN_PAGES, MIN_SHARE = 3, 0.2
+#: Words from which a paragraph outside articles is nobody's template; share of the text that articles need to be the page's text.
+OWN_WORDS, MAIN_SHARE = 25, 1 / 3
+WRAP = 1 << 64
 #: Hashes of templates that are broadcast at most (8 MB).
 MAX_HASHES = 1_000_000
 
@@ -44,7 +52,7 @@ BLOCKS = frozenset(
 )
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = frozenset(
-    "head script style noscript template nav header footer aside form button select option textarea input iframe object embed svg"
+    "head script style noscript template nav header footer aside button select option textarea input iframe object embed svg"
     " canvas audio video map menu dialog title noembed noframes".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -59,7 +67,14 @@ KINDS = MARKS | frozenset(
     "area bar block body box button buttons container content form group holder inner item items left link links list main outer page panel post posts right row"
     " section site slot strip thread top bottom text title unit wrap wrapper global primary secondary footer".split()
 )
-CONTAINERS = frozenset(("html", "body", "article", "main"))
+#: Of these, the ones that decide inside an article, about any element but those in OWN.
+INNER_MARKS = frozenset(
+    "ad ads adv advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs related recommended"
+    " comment comments disqus respond reply replies cookie cookies consent popup modal newsletter subscribe signup login pagination pager toolbar".split()
+)
+TEASERS = frozenset("teaser teasers related recommended promo sponsored ad ads advert advertisement".split())
+OWN = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th tr tbody thead tfoot blockquote pre figcaption caption hgroup".split())
+CONTAINERS = frozenset(("html", "body", "main"))
 #: Elements that an opening tag closes, if they are the nearest open block.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
@@ -71,50 +86,64 @@ PART = re.compile(r"[-_:]+")
 
 
 class _Open:
-    """An open element: what it adds to blocks and hashes."""
+    """An open element: what it adds to blocks and hashes. ``scope`` and ``form`` are the numbers of the outermost article and form around it, or 0."""
 
-    __slots__ = ("attributes", "content", "dropped", "first_block", "inside", "protected", "tag")
+    __slots__ = ("attributes", "content", "dropped", "first_block", "form", "scope", "tag")
 
-    def __init__(self, tag: str, attributes: str, parent: _Open | None, first_block: int):
+    def __init__(self, tag: str, attributes: str, parent: _Open | None, first_block: int, number: int):
         self.tag, self.attributes, self.first_block = tag, attributes, first_block
         self.content: list[str] = []
-        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
-        self.protected = tag in CONTAINERS or self.inside
-        self.dropped = (parent is not None and parent.dropped) or is_boilerplate(tag, attributes, self.inside)
+        self.scope = parent.scope if parent and parent.scope else number if tag in ("article", "main") else 0
+        self.form = parent.form if parent and parent.form else number if tag == "form" else 0
+        self.dropped = (parent is not None and parent.dropped) or is_boilerplate(tag, attributes, bool(parent and parent.scope))
 
 
 def is_boilerplate(tag: str, attributes: str, inside: bool) -> bool:
     if tag in DROPPED and not (inside and tag == "header"):
         return True
-    if tag in CONTAINERS or "=" not in attributes:
+    if tag in CONTAINERS or (inside and tag in OWN) or "=" not in attributes:
         return False
+    marks = TEASERS if tag == "article" else INNER_MARKS if inside else MARKS
     for name, value in ATTRIBUTE.findall(attributes):
         tokens = value.strip("\"'").lower().split()
-        if not ROLES.isdisjoint(tokens) if name.lower() == "role" else any(map(_marks, tokens)):
+        if name.lower() == "role":
+            if tag != "form" and not ROLES.isdisjoint(tokens):
+                return True
+        elif tag != "form" and any(_marks(t, marks) for t in tokens):
             return True
     return False
 
 
-def _marks(token: str) -> bool:
+def _marks(token: str, marks: frozenset[str]) -> bool:
     """Whether a class token names a kind of boilerplate: each of its parts is a mark or a kind of box, and one is a mark."""
     parts = [p.rstrip("0123456789") for p in PART.split(token) if p]
-    return not MARKS.isdisjoint(parts) and all(p in KINDS or not p for p in parts)
+    return not marks.isdisjoint(parts) and all(p in KINDS or p in marks or not p for p in parts)
+
+
+def _signed(code: int) -> int:
+    code %= WRAP
+    return code - WRAP if code >= WRAP >> 1 else code
 
 
-def parse(page: str | None, template: frozenset[int] = frozenset()) -> tuple[list[str], list[int]]:
-    """Blocks of the main text, and the hashes of the subtrees that could be a template."""
-    blocks: list[tuple[str, bool, bool]] = []  # text, inside an article, kept
-    hashes: list[int] = []
-    stack = [_Open("", "", None, 0)]
+def parse(page: str | None, template: frozenset[int] = frozenset()) -> tuple[list[str], list[tuple[int, int]]]:
+    """Blocks of the main text, and (hash, hash of the text beside it) of the subtrees that could be a template; the last one is that of the page's whole text, without a hash of its own."""
+    blocks: list[tuple[str, int, int]] = []  # text, scope, form
+    sums, sizes = [0], [0]  # running sums of the blocks' hashes and lengths
+    found: list[tuple[int, int, int, int]] = []  # hash, scope, first block, end
+    stack = [_Open("", "", None, 0, 0)]
+    scopes: dict[int, list[int]] = {}  # blocks of an article: first, end
     n_open: Counter[str] = Counter()
     pending: list[str] = []
+    opened = 0
 
     def flush() -> None:
         if pending:
             text = " ".join(entities.unescape("".join(pending)).split())
             pending.clear()
             if text:
-                blocks.append((text, stack[-1].inside, True))
+                blocks.append((text, stack[-1].scope, stack[-1].form))
+                sums.append(sums[-1] + xxhash.xxh64_intdigest(text))
+                sizes.append(sizes[-1] + len(text))
 
     def say(text: str) -> None:
         if text:
@@ -128,16 +157,18 @@ def parse(page: str | None, template: frozenset[int] = frozenset()) -> tuple[lis
             flush()
         node = stack.pop()
         n_open[node.tag] -= 1
-        code = xxhash.xxh64_intdigest(f"{node.tag}\x00{node.attributes}\x00" + "\x01".join(node.content)) - (1 << 63)
+        code = _signed(xxhash.xxh64_intdigest(f"{node.tag}\x00{node.attributes}\x00" + "\x01".join(node.content)))
         stack[-1].content.append(str(code))
-        if block and not node.protected:
-            hashes.append(code)
-            if code in template:
-                for i in range(node.first_block, len(blocks)):
-                    blocks[i] = (*blocks[i][:2], False)
+        first, end = node.first_block, len(blocks)
+        if node.scope and node.scope != stack[-1].scope:
+            scopes[node.scope] = [first, end]
+        elif block and first < end and node.tag not in ("html", "body"):
+            own = node.tag in OWN if node.scope else node.tag == "p" and sum(b[0].count(" ") + 1 for b in blocks[first:end]) >= OWN_WORDS
+            if not own:
+                found.append((code, node.scope, first, end))
 
     if not page:
-        return [], []
+        return [], [(None, 0)]
     at = 0
     while True:
         begin = TOKEN.search(page, at)
@@ -169,7 +200,8 @@ def parse(page: str | None, template: frozenset[int] = frozenset()) -> tuple[lis
                     while stack[-1].tag != old:
                         close()
                     close()
-        stack.append(_Open(tag, m[3].strip(), stack[-1], len(blocks)))
+        opened += 1
+        stack.append(_Open(tag, m[3].strip(), stack[-1], len(blocks), opened))
         n_open[tag] += 1
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
@@ -177,10 +209,33 @@ def parse(page: str | None, template: frozenset[int] = frozenset()) -> tuple[lis
     while len(stack) > 1:
         close()
     flush()
-    if not any(kept for *_, kept in blocks):
-        blocks = [(*block[:2], True) for block in blocks]
-    main = any(inside and kept for _, inside, kept in blocks)
-    return [text for text, inside, kept in blocks if kept and (inside or not main)], hashes
+    whole = [0, len(blocks)]
+    gone = [False] * len(blocks)
+    beside = []
+    for code, scope, first, end in found:
+        low, high = scopes.get(scope, whole)
+        if scope and 2 * (sizes[end] - sizes[first]) > sizes[high] - sizes[low]:
+            continue  # most of the article
+        beside.append((code, _signed(sums[high] - sums[low] - sums[end] + sums[first])))
+        if code in template:
+            gone[first:end] = [True] * (end - first)
+    left = [(text, scope, form) for (text, scope, form), out in zip(blocks, gone, strict=True) if not out]
+    return _main(left), [*beside, (None, _signed(sums[-1]))]
+
+
+def _main(blocks: list[tuple[str, int, int]]) -> list[str]:
+    """Texts of the blocks that are neither of a form (unless it holds an article or most of the text) nor beside the articles."""
+    sizes: Counter[int] = Counter()
+    articles = set()
+    for text, scope, form in blocks:
+        sizes[form] += len(text)
+        if form and scope > form:
+            articles.add(form)
+    total = sum(sizes.values())
+    kept = [(text, scope) for text, scope, form in blocks if not form or form in articles or 2 * sizes[form] > total]
+    inside = sum(len(text) for text, scope in kept if scope)
+    main = inside > 0 and inside >= MAIN_SHARE * sum(len(text) for text, _ in kept)
+    return [text for text, scope in kept if scope or not main]
 
 
 def _near(stack: list[_Open], tag: str) -> list[_Open]:
@@ -206,12 +261,12 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"host": batch["host"], "hashes": [sorted(set(parse(h)[1])) for h in batch["html"]]})
+            rows = [(host, code, rest) for host, page in zip(batch["host"], batch["html"], strict=True) for code, rest in set(parse(page)[1])]
+            yield pd.DataFrame({"host": [r[0] for r in rows], "hash": pd.array([r[1] for r in rows], dtype="Int64"), "rest": pd.array([r[2] for r in rows], dtype="int64")})
 
-    seen = with_host(pages).where("host IS NOT NULL AND html IS NOT NULL").select("host", "html").transform(common.in_batches, task, "host string, hashes array<long>")
-    # the number of pages travels as the count of a hash that no subtree has
-    rows = seen.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hashes")).alias("hash"))
-    counted = common.cut(rows.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
+    seen = with_host(pages).where("host IS NOT NULL AND html IS NOT NULL").select("host", "html").transform(common.in_batches, task, "host string, hash long, rest long")
+    # pages that are alike beside a subtree count once; the number of different pages travels as that of a hash that no subtree has
+    counted = common.cut(seen.distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
     sites = counted.where("hash IS NULL").select("host", F.col("n").alias("n_pages"))
     frequent = counted.where("hash IS NOT NULL").join(sites, "host").where(F.col("n") >= F.least(min_share * F.col("n_pages"), F.sqrt("n_pages")))
     return common.cut(frequent.groupBy("host").agg(F.collect_list("hash").alias("template")))

@@ -509,3 +509,45 @@ def test_word_ids_are_the_tokenizers():
     for _ in range(2):  # learnt, then remembered
         want = encode.tokenizer.encode_batch(texts, add_special_tokens=False)
         assert [g.tolist() for g in encode(texts)] == [w.ids for w in want]
+
+
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_template_boxes_go_inside_and_outside_articles(spark):
+    """A host whose boxes have no telling mark-up; its articles share a paragraph, two of its pages are copies, one is template alone."""
+    shared = "<p>This passage is in several articles and belongs to each of them, whoever wrote it first.</p>"
+    page = lambda i, extra="": (
+        f"<html><body><div class='x0'>Acme daily <b>since 1990</b></div><main><p>Story {i} is about the number {i} and nothing else at all.</p>{extra}"
+        "<div class='x1'>Share this page with friends</div></main><div><p>All rights belong to someone.</p></div></body></html>"
+    )
+    rows = [(i, f"http://acme.org/{i}", page(i, shared if i % 2 else "")) for i in range(12)]
+    rows += [(20 + k, f"http://acme.org/m{k}", page(99)) for k in range(2)] + [(30, "http://acme.org/e", page(0).replace("<p>Story 0 is about the number 0 and nothing else at all.</p>", ""))]
+    got = extracted(spark, rows)
+    for i in range(12):
+        assert got[i] == f"Story {i} is about the number {i} and nothing else at all." + ("\n" + shared[3:-4] if i % 2 else "")
+    assert got[20] == got[21] == "Story 99 is about the number 99 and nothing else at all."
+    alone = extracted(spark, [(k, r[1], r[2].replace("main>", "div>")) for k, r in enumerate(rows)])
+    assert alone[14] == ""  # template alone
+    assert alone[0] == got[0] and alone[12] == got[20]
+
+
+def test_html_mirrors_keep_their_text(spark):
+    """Many copies of one page beside other pages of the host: the copies' article is no template."""
+    page = lambda text: f"<html><body><div class='x0'>Acme daily</div><article><div class='c'><p>{text}</p><p>More of it.</p></div></article></body></html>"
+    rows = [(i, f"http://acme.org/{i}", page("The same story on many pages")) for i in range(10)] + [(10 + i, f"http://acme.org/o{i}", page(f"Other story {i}")) for i in range(10)]
+    got = extracted(spark, rows)
+    assert {got[i] for i in range(10)} == {"The same story on many pages\nMore of it."} and got[13] == "Other story 3\nMore of it."
+
+
+def test_html_articles_forms_and_marks():
+    texts = lambda h: html_text.parse(h)[0]
+    assert texts("<div id=content><p>The real story, told at length</p></div><article class='teaser'><p>Read also this</p></article>") == ["The real story, told at length"]
+    assert texts("<div id=content><p>The real story, told at length</p></div><article><p>And</p></article>") == ["The real story, told at length", "And"]
+    assert texts("<article><form><p>What the article says</p><input value=x></form></article>") == ["What the article says"]
+    assert texts("<form id=aspnet><div><p>A page inside one form</p><button>Go</button></div></form>") == ["A page inside one form"]
+    assert texts("<p>A story of some length</p><form>Your name <input></form>") == ["A story of some length"]
+    assert texts("<form><nav>menu</nav><article><p>Own</p></article></form><div>A longer text beside the form</div>") == ["Own", "A longer text beside the form"]
+    assert texts("<article><div class='legal'>A case in court</div><p class=share>of the market</p><p id=search>for gold</p><div class='share-price'>rose</div></article>") == ["A case in court", "of the market", "for gold", "rose"]
+    assert texts("<article><p>Own</p><div class='ad'>buy</div><div id='comments'><p>nice</p></div></article>") == ["Own"]
