@@ -2,25 +2,29 @@
 
 Lexicon entries are known insults and, from a bounded sample of labelled rows, words and word
 starts that are over-represented in toxic texts. A word that is an entry by itself counts for
-no word start. Entries that meet in the same toxic texts form a theme, so that each voter
-looks at another kind of language. Voters are: a theme's entry occurs, two different entries
-of it occur, any entry follows a word of address, any entry occurs in a text of capitals or
-with runs of exclamation marks, no entry occurs at all (a voter for clean), and the row's own
-label, which is one more voter of unknown accuracy.
+no word start. Of texts that are copies of each other, by minimum hashes of their word triples, one
+counts, so that the words of a much copied text are no lexicon. Entries that meet in the same toxic
+texts form a theme, so that each voter looks at another kind of language. Voters are: a theme's
+entry occurs, two different entries of it occur, two or three different entries of any theme occur,
+entries are one or one and a half words in a hundred, any entry follows a word of address, any entry
+occurs in a text of capitals or with runs of exclamation marks; for clean, no entry occurs at all,
+or fewer than one word in a hundred is one; and the row's own label, as one more voter, of which
+the model believes at best that it errs in two rows of a hundred.
 
 A generative label model treats the true label as hidden: given it, voters fire with unknown
 rates, and a voter's log-odds are divided by how much it repeats others: one plus its
-correlations with the voters that it is correlated with inside both classes. Rates,
-correlations and class share are estimated in turn by expectation maximisation. A logistic regression on the texts' theme and pattern features
-is fitted to the posterior labels and scores every whole text; labels take no part in that.
+correlations with the voters that it is correlated with inside both classes. Labels give the first
+estimate of the rates; from there rates, correlations and class share are estimated in turn by
+expectation maximisation. A logistic regression on the texts' theme and pattern features is fitted to the
+posterior labels and scores every whole text; labels take no part in that.
 
 The fit reads at most ``sample`` rows of each label, each weighted by the rows of its label that
 it stands for, so that the class mix is that of all labelled rows at every size; scoring reads everything and shuffles nothing.
 
 Defined results: null and empty texts get the score of a text without any feature; repeated
 rows get equal scores; a doc_id that is labelled or written more than once is learned from once,
-and as toxic if any of its labels says so; without toxic labels every score is 0. Extra columns
-pass unread.
+and as toxic if any of its labels says so; labels of one class tell nothing apart, so without toxic
+ones every score is 0, and without clean ones 1. Extra columns pass unread.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +52,8 @@ MIN_RATIO, MAX_CHANCE = 3.0, 0.01
 #: Lengths of word starts; themes at most; least share of common toxic texts that joins two entries in a theme.
 STEMS, THEMES, OVERLAP = range(4, 9), 8, 0.1
 THRESHOLD = 0.3
+#: Minimum hashes of word triples, and how many have been seen before in a copy; density of entries that speaks for toxic or, below the first, for clean; least error of the label.
+HASHES, SEEN, DENSITIES, LABEL_ERROR = 8, 3, (0.01, 0.015), 0.02
 #: Columns after the two of each theme: address, density, capitals, exclamations.
 PATTERNS = 4
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -123,6 +130,20 @@ def _entries(texts: list[str], toxic: np.ndarray, weight: np.ndarray, bag_of: Ca
     return found
 
 
+def firsts(texts: list[str]) -> np.ndarray:
+    """Which texts are no copies of an earlier one."""
+    turns = np.random.default_rng(7).integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
+    seen: set[tuple[int, int]] = set()
+    first = np.zeros(len(texts), dtype=bool)
+    for i, text in enumerate(texts):
+        w = WORD.findall(text.lower())
+        codes = np.array([xxhash.xxh64_intdigest(" ".join(w[k : k + 3])) for k in range(max(1, len(w) - 2))], dtype=np.uint64)
+        keys = list(enumerate((codes[:, None] * turns).min(0).tolist()))
+        first[i] = sum(k in seen for k in keys) < SEEN
+        seen.update(keys)
+    return first
+
+
 def lexicons(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> tuple[dict[str, tuple[int, int]], dict[str, tuple[int, int]]]:
     """Words and word starts with their themes. Of nested word starts the most telling one stays."""
     words = lambda t: set(WORD.findall(t.lower()))
@@ -169,8 +190,10 @@ def repeats(votes: np.ndarray, belief: np.ndarray, limit: float = 0.3, rows: np.
     return 1.0 + np.where(least > limit, np.minimum(least, 1.0), 0.0).sum(axis=1)
 
 
-def label_model(votes: np.ndarray, belief: np.ndarray, rounds: int = 50, weight: np.ndarray | None = None, against: np.ndarray | None = None) -> np.ndarray:
-    """Posterior of the hidden label, by expectation maximisation from ``belief``; ``against`` marks the voters that vote for clean."""
+def label_model(
+    votes: np.ndarray, belief: np.ndarray, rounds: int = 50, weight: np.ndarray | None = None, against: np.ndarray | None = None, error: np.ndarray | float = 0.0
+) -> np.ndarray:
+    """Posterior of the hidden label, by expectation maximisation from ``belief``; ``against`` marks the voters that vote for clean, ``error`` is the least error of each."""
     votes = votes.astype(float)
     weight = np.ones(len(votes)) if weight is None else weight
     against = np.zeros(votes.shape[1], dtype=bool) if against is None else against
@@ -179,6 +202,7 @@ def label_model(votes: np.ndarray, belief: np.ndarray, rounds: int = 50, weight:
         one, zero = (((w[:, None] * votes).sum(0) + 0.5) / (w.sum() + 1.0) for w in (belief * weight, (1 - belief) * weight))
         # no voter speaks against its own side
         one = np.where(against, np.minimum(one, zero), np.maximum(one, zero))
+        one, zero = np.clip(one, error, 1 - np.asarray(error)), np.clip(zero, error, 1 - np.asarray(error))
         prior = ((belief * weight).sum() + 0.5) / (weight.sum() + 1.0)
         odds = math.log(prior / (1 - prior)) + votes @ (share * np.log(one / zero)) + (1 - votes) @ (share * np.log((1 - one) / (1 - zero)))
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
@@ -188,14 +212,16 @@ def label_model(votes: np.ndarray, belief: np.ndarray, rounds: int = 50, weight:
     return belief
 
 
-def votes_of(x: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Votes of all voters over features ``x`` and labels, and which of them vote for clean."""
+def votes_of(x: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Votes of all voters over features ``x`` and labels, which of them vote for clean, and the least error of each."""
     any_ = (x[:, :THEMES] > 0).any(1)
     one, two, address = x[:, :THEMES] > 0, x[:, THEMES : 2 * THEMES] > math.log(2.5), x[:, 2 * THEMES] > 0
     loud = (x[:, -2:] > 0.5) & any_[:, None]
-    votes = np.column_stack([one, two, address, loud, toxic, ~any_, ~toxic])
-    used = votes.any(0) & ~votes.all(0)
-    return votes[:, used], (np.arange(votes.shape[1]) >= votes.shape[1] - 2)[used]
+    different, density = np.expm1(x[:, THEMES : 2 * THEMES]).sum(1), x[:, 2 * THEMES + 1] ** 2
+    many = [different > n - 0.5 for n in (2, 3)] + [density >= d for d in DENSITIES]
+    votes = np.column_stack([one, two, address, loud, *many, toxic, ~any_, density < DENSITIES[0]])
+    used, n = votes.any(0) & ~votes.all(0), votes.shape[1]
+    return votes[:, used], (np.arange(n) >= n - 2)[used], np.where(np.arange(n) == n - 3, LABEL_ERROR, 0.0)[used]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
@@ -219,13 +245,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40
 def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray | None = None) -> Model:
     """On a sample that the caller has bounded; ``weight``: labelled rows that each row stands for."""
     toxic = toxic.astype(bool)
-    if not toxic.any():
-        return Model()
+    if not toxic.any() or toxic.all():
+        return Model(intercept=20.0 if toxic.any() else -20.0)
     weight = np.ones(len(texts)) if weight is None else weight * (len(texts) / weight.sum())
-    words, stems = lexicons(texts, toxic, weight)
+    own = firsts(texts)
+    words, stems = lexicons([t for t, k in zip(texts, own, strict=True) if k], toxic[own], weight[own])
     x = np.array([features(t, words, stems) for t in texts])
-    votes, against = votes_of(x, toxic)
-    weights, intercept = logistic(x, label_model(votes, np.where(toxic, 0.9, 0.02), weight=weight, against=against), weight=weight)
+    votes, against, error = votes_of(x, toxic)
+    weights, intercept = logistic(x, label_model(votes, np.where(toxic, 0.9, 0.02), weight=weight, against=against, error=error), weight=weight)
     return Model(words, stems, weights, intercept)
 
 

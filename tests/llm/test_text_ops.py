@@ -551,3 +551,50 @@ def test_html_articles_forms_and_marks():
     assert texts("<form><nav>menu</nav><article><p>Own</p></article></form><div>A longer text beside the form</div>") == ["Own", "A longer text beside the form"]
     assert texts("<article><div class='legal'>A case in court</div><p class=share>of the market</p><p id=search>for gold</p><div class='share-price'>rose</div></article>") == ["A case in court", "of the market", "for gold", "rose"]
     assert texts("<article><p>Own</p><div class='ad'>buy</div><div id='comments'><p>nice</p></div></article>") == ["Own"]
+
+
+def test_label_model_overrules_labels_that_no_voter_shares():
+    """A posterior is no copy of the label: a text without any entry that is labelled toxic is doubted, one full of entries that is labelled clean as well."""
+    rng = random.Random(4)
+    bad = ["zorgle", "flimkin", "bratzle", "quimdor", "snargel", "plonkist"]
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    clean = lambda: " ".join(rng.choice(words) for _ in range(80))
+    nasty = lambda: " ".join([*(rng.choice(words) for _ in range(60)), *rng.choices(bad, k=6)])
+    texts = [clean() for _ in range(400)] + [nasty() for _ in range(60)] + [clean() for _ in range(4)] + [nasty() for _ in range(4)]
+    toxic = np.array([False] * 400 + [True] * 60 + [True] * 4 + [False] * 4)
+    own = toxicity.firsts(texts)
+    lexicon = toxicity.lexicons(texts, toxic, np.ones(len(texts)))
+    assert own.all() and set(bad) <= set(lexicon[0]) | {w for w in bad for s in lexicon[1] if w.startswith(s)}
+    x = np.array([toxicity.features(t, *lexicon) for t in texts])
+    votes, against, error = toxicity.votes_of(x, toxic)
+    posterior = toxicity.label_model(votes, np.where(toxic, 0.9, 0.02), against=against, error=error)
+    assert (posterior[:400] < 0.2).all() and (posterior[400:460] > 0.8).all()
+    assert (posterior[460:464] < 0.5).all() and (posterior[464:] > 0.5).all()
+
+
+def test_copies_are_no_lexicon():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    copied = [word() for _ in range(60)]
+    near = lambda: " ".join(w if rng.random() > 0.02 else word() for w in copied)
+    texts = [near() for _ in range(80)] + [" ".join(word() for _ in range(60)) for _ in range(200)]
+    toxic = np.array([True] * 80 + [False] * 200)
+    own = toxicity.firsts(texts)
+    assert own[:80].sum() <= 4 and own[80:].all()
+    model = toxicity.fit(texts, toxic)
+    assert not set(copied) & set(model.words)
+
+
+def test_training_with_one_class_only(spark):
+    score = lambda model: {r.score for r in toxicity.score_texts(docs(spark, ["clean", None, "you idiot"]), model).collect()}
+    assert all(s > 0.99 for s in score(toxicity.fit(["you idiot", "you fool"], np.array([True, True]))))
+    assert all(s < 0.01 for s in score(toxicity.fit(["fine", "good"], np.array([False, False]))))
+
+
+def test_toxicity_holds_out(spark):
+    """Held-out recall and precision of the query's verdicts on its own table."""
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in queries.op7_toxicity(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    hit = sum(r.predicted and labels[r.doc_id] for r in rows)
+    assert hit >= 0.8 * sum(labels[r.doc_id] for r in rows) and hit >= 0.9 * sum(r.predicted for r in rows)
