@@ -628,3 +628,24 @@ def test_language_matches_a_plain_nearest_centroid(spark):
             assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
         else:
             assert got[d].lang_pred == plain[0] and abs(got[d].score - min(1, max(0, plain[1]))) < 1e-4
+
+
+def test_leaks_of_several_blocks_of_items_are_those_of_one(spark):
+    """Items in blocks of seven: documents are still read twice, and all planted items of one to twenty words are found, short ones where they are at least five words."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8))) for _ in range(3000)]
+    texts = [[rng.choice(vocabulary) for _ in range(200)] for _ in range(60)]
+    items, planted = [], defaultdict(set)
+    for k in range(60):
+        d, n = rng.randrange(60), k % 20 + 1
+        at = rng.randrange(200 - n)
+        items.append((k, " ".join(texts[d][at : at + n])))
+        planted[n < decontaminate.SHORTEST].add((d, k))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    frame = docs(spark, [" ".join(t) for t in texts])
+    one = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, bench).collect()}
+    many = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, bench, items_at_once=7).collect()}
+    assert planted[False] <= one and planted[False] <= many
+    recall = len(planted[True] & one) / len(planted[True])
+    print(f"recall of items of one to four words: {recall:.2f}")
+    assert decontaminate.leaks(frame, bench.limit(0)).collect() == []
