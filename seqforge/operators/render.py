@@ -45,7 +45,7 @@ def halved_chroma(frames: DataFrame) -> DataFrame:
 
 
 def resized(frames: DataFrame, width: Column, height: Column, kind: str, columns: tuple[str, ...] = ("pixels",)) -> DataFrame:
-    """Planes at a new size, by the area or the bilinear filter."""
+    """Planes at a new size, by the area, the bilinear or the bicubic filter; a cubic is not widened where the frame shrinks."""
     done = frames.withColumns({"_w": width.cast("int"), "_h": height.cast("int")})
     done = done.withColumns({c: raster.scaled(F.col(c), *_size(), F.col("_w"), F.col("_h"), kind) for c in columns})
     return done.withColumns({"width": F.col("_w"), "height": F.col("_h")}).drop("_w", "_h")

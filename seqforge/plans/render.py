@@ -73,6 +73,26 @@ SELECT vec_id, w::INTEGER AS width, h::INTEGER AS height, string_agg(v::VARCHAR,
 RESIZE_AREA, RESIZE_BILINEAR = _resize_sql(_OVERLAP, "c.width * c.height"), _resize_sql(_TENT, "4 * o.w * o.h")
 
 
+def _cubic_sql(name: str, axis: str, new: str, size: str) -> str:
+    """Weights ``w`` of the sources ``src`` of each new sample ``o{axis}`` of a line, in parts of CUBIC."""
+    unit = raster.CUBIC
+    return f"""{name}0 AS (SELECT DISTINCT vec_id, o{axis}, {size} AS size, 2 * {new} AS d, (2 * o{axis} + 1) * {size} - {new} AS place FROM o),
+{name}1 AS (SELECT *, floor(place / d::DOUBLE)::BIGINT AS l, place - floor(place / d::DOUBLE)::BIGINT * d AS s FROM {name}0),
+{name}2 AS (SELECT vec_id, o{axis}, size, l, s, d, k, CASE k WHEN 0 THEN -s * s * s + 2 * s * s * d - s * d * d WHEN 1 THEN 3 * s * s * s - 5 * s * s * d + 2 * d * d * d
+  WHEN 2 THEN -3 * s * s * s + 4 * s * s * d + s * d * d ELSE s * s * s - s * s * d END AS part FROM {name}1, range(4) t(k)),
+{name}3 AS (SELECT *, floor((part * {unit} + d * d * d) / (2.0 * d * d * d))::BIGINT AS w FROM {name}2),
+{name} AS (SELECT vec_id, o{axis}, least(greatest(l + k - 1, 0), size - 1) AS src,
+  w + CASE WHEN k = CASE WHEN 2 * s < d THEN 1 ELSE 2 END THEN {unit} - sum(w) OVER (PARTITION BY vec_id, o{axis}) ELSE 0 END AS w FROM {name}3)"""
+
+
+RESIZE_BICUBIC = f"""WITH {sql.FRAMES}, {sql.cells("c", "frames", "vec_id", "pixels")},
+size AS (SELECT vec_id, width, height, vec_id % 9 + 4 AS w, vec_id % 7 + 3 AS h FROM frames), o AS (SELECT vec_id, width, height, w, h, ox, oy FROM size, range(12) a(ox), range(9) b(oy) WHERE ox < w AND oy < h),
+{_cubic_sql("across", "x", "w", "width")}, {_cubic_sql("down", "y", "h", "height")},
+done AS (SELECT o.vec_id, o.w, o.h, o.ox AS x, o.oy AS y, least(greatest(floor((2 * sum(a.w * b.w * c.v) + {raster.CUBIC**2}) / {2.0 * raster.CUBIC**2}), 0), 255)::BIGINT AS v
+  FROM o JOIN across a ON a.vec_id = o.vec_id AND a.ox = o.ox JOIN down b ON b.vec_id = o.vec_id AND b.oy = o.oy JOIN c ON c.vec_id = o.vec_id AND c.x = a.src AND c.y = b.src GROUP BY ALL)
+SELECT vec_id, w::INTEGER AS width, h::INTEGER AS height, string_agg(v::VARCHAR, ',' ORDER BY y, x) AS pixels FROM done GROUP BY ALL"""
+
+
 def blur_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of two radii, twice over."""
     return render.box_blurred(adapters.embedding_frames(spark, sf_dir), F.col("vec_id") % 2 * 2 + 1, F.lit(2)).select("vec_id", text())
@@ -263,6 +283,7 @@ QUERIES = {
     "scene_pixels": scene_pixels,
     "resize_area": _resize("area"),
     "resize_bilinear": _resize("bilinear"),
+    "resize_bicubic": _resize("bicubic"),
     "blur_box": blur_box,
     "blur_gaussian": blur_gaussian,
     "blur_motion": blur_motion,
@@ -283,6 +304,7 @@ ORACLES = {
     "scene_pixels": SCENE_PIXELS,
     "resize_area": RESIZE_AREA,
     "resize_bilinear": RESIZE_BILINEAR,
+    "resize_bicubic": RESIZE_BICUBIC,
     "blur_box": BLUR_BOX,
     "blur_gaussian": BLUR_GAUSSIAN,
     "blur_motion": BLUR_MOTION,

@@ -45,7 +45,27 @@ def test_resampling_matches_plain_loops(h, w, new_h, new_w):
             for x in range(new_w):
                 total = sum(int(a[j, i]) * weight(j, y, h, new_h) * weight(i, x, w, new_w) for j in range(h) for i in range(w))
                 assert got[y, x] == half_up(total, parts)
-    assert (raster.resampled(a[None], "area", w, h)[0] == a).all()
+    assert (raster.resampled(a[None], "area", w, h)[0] == a).all() and (raster.resampled(a[None], "bicubic", w, h)[0] == a).all()
+
+
+@pytest.mark.parametrize("size, new", [(1, 3), (5, 5), (9, 4), (4, 9), (50, 7), (1920, 1280)])
+def test_cubic_weights_are_those_of_the_cubic(size, new):
+    sources, weights, unit = raster.taps(size, new, "bicubic")
+    assert (weights.sum(axis=1) == unit).all() and sources.min() >= 0 and sources.max() < size
+    for at in range(0, new, max(1, new // 20)):
+        centre = (at + 0.5) * size / new - 0.5
+        for k, left in enumerate(range(int(np.floor(centre)) - 1, int(np.floor(centre)) + 3)):
+            x = abs(centre - left)
+            want = 1.5 * x**3 - 2.5 * x**2 + 1 if x <= 1 else -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2
+            assert abs(weights[at, k] / unit - want) < 3 / unit and sources[at, k] == min(max(left, 0), size - 1)
+
+
+def test_cubic_keeps_flat_frames_and_clips():
+    flat, edge = np.full((1, 6, 6), 77), np.zeros((1, 4, 8), dtype=np.int64)
+    edge[:, :, 4:] = 255
+    assert (raster.resampled(flat, "bicubic", 9, 4) == 77).all()
+    done = raster.resampled(edge, "bicubic", 16, 4)
+    assert done.min() == 0 and done.max() == 255 and ((done > 0) & (done < 255)).any()
 
 
 @pytest.mark.parametrize("radius", [0, 1, 3, 20])
