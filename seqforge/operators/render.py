@@ -8,8 +8,6 @@ parameters are columns or values, as the degradation plans give them.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -133,13 +131,17 @@ def median(window: Column) -> Column:
 def ghosted(frames: DataFrame, ghosts: list[dict[str, int]], column: str = "pixels") -> DataFrame:
     """Trails over each frame, one after another: the median of the frames within ``delay``, softened, moved and mixed in by ``opacity``.
 
-    A ghost has delay (frames), offset_x, offset_y (pixels) and opacity (thousandths).
+    A ghost has delay (frames), offset_x, offset_y (pixels), opacity (thousandths) and, as its shift of the plane's colour, gain
+    (thousandths, 1000 if there is none).
     """
     around = {f"_g{k}": F.collect_list(column).over(order().rowsBetween(-g["delay"], g["delay"])) for k, g in enumerate(ghosts)}
     trails = frames.withColumns(around).withColumns({name: median(F.col(name)) for name in around})
 
-    def overlaid(*stacks: np.ndarray) -> np.ndarray:
-        return reduce(lambda under, kg: raster.mixed(under, raster.shifted(raster.boxed(stacks[1 + kg[0]], 1), kg[1]["offset_x"], kg[1]["offset_y"]), kg[1]["opacity"]), enumerate(ghosts), stacks[0])
+    def overlaid(under: np.ndarray, *trails: np.ndarray) -> np.ndarray:
+        for trail, g in zip(trails, ghosts, strict=True):
+            soft = raster.clipped(raster.rounded(raster.boxed(trail, 1) * g.get("gain", 1000), 1000))
+            under = raster.mixed(under, raster.shifted(soft, g["offset_x"], g["offset_y"]), g["opacity"])
+        return under
 
     if not ghosts:
         return frames

@@ -13,7 +13,7 @@ from seqforge.sources import adapters
 #: A change between frames that tells the test recordings apart, and the shrinking before it is measured.
 CUT, FACTOR = 31.0, 2
 SEED, STRENGTH, SIGMA, DELAY = 1024, 12, 1.5, 1.5
-GHOSTS = [{"delay": 1, "offset_x": 2, "offset_y": -1, "opacity": 150}, {"delay": 2, "offset_x": -3, "offset_y": 0, "opacity": 50}]
+GHOSTS = [{"delay": 1, "offset_x": 2, "offset_y": -1, "opacity": 150}, {"delay": 2, "offset_x": -3, "offset_y": 0, "opacity": 50, "gain": 1150}]
 
 
 def text(column: str = "pixels") -> Column:
@@ -221,7 +221,7 @@ def ghosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ghost_sql(k: int, g: dict[str, int]) -> str:
     return f"""g{k} AS (SELECT a.id, a.x, a.y, list_sort(list(b.v))[(count(*) + 1) // 2] AS v, 1 AS r FROM c a JOIN c b ON b.video_id = a.video_id AND b.x = a.x AND b.y = a.y
   AND b.place BETWEEN a.place - {g["delay"]} AND a.place + {g["delay"]} GROUP BY a.id, a.x, a.y), {sql.box(f"s{k}", f"g{k}", "id", "r")},
-o{k + 1} AS (SELECT o.* EXCLUDE (v), (2 * (o.v * {1000 - g["opacity"]} + coalesce((2 * s.s + s.n) // (2 * s.n), 0) * {g["opacity"]}) + 1000) // 2000 AS v
+o{k + 1} AS (SELECT o.* EXCLUDE (v), (2 * (o.v * {1000 - g["opacity"]} + least(coalesce((2 * ((2 * s.s + s.n) // (2 * s.n)) * {g.get("gain", 1000)} + 1000) // 2000, 0), 255) * {g["opacity"]}) + 1000) // 2000 AS v
   FROM o{k} o LEFT JOIN s{k} s ON s.id = o.id AND s.x = o.x - {g["offset_x"]} AND s.y = o.y - {g["offset_y"]})"""
 
 
