@@ -60,34 +60,36 @@ def _places() -> list[tuple[int, int, int, int, bool]]:
     return places
 
 
-def _keys() -> Column:
-    """Array of the keys of ``line`` of length ``len`` at each place; null where the indexed line would allow another number of edits."""
-    names = ("edits", "less", "segment", "shift")
-    places = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, p, strict=False)]) for p in _places()])
+def _keys() -> dict[str, Column]:
+    """Keys k0, k1, ... of a line of length ``len``, one for each place; null where the indexed line would allow another number of edits.
 
-    def key(p: Column) -> Column:
-        n = F.col("len") - p["less"]
-        start = F.floor(n * p["segment"] / (p["edits"] + 1)).cast("int")
-        end = F.floor(n * (p["segment"] + 1) / (p["edits"] + 1)).cast("int")
-        return F.when(allowed_edits(n) == p["edits"], F.xxhash64(n, p["segment"], F.substring("line", start + 1 + p["shift"], end - start)))
+    Segments are cut from ``wide``, the line in four bytes a character: cutting from a string walks there from its first character, each time.
+    """
+
+    def key(edits: int, less: int, segment: int, shift: int, _own: bool) -> Column:
+        n = F.col("len") - less
+        start, end = (F.floor(n * k / (edits + 1)).cast("int") for k in (segment, segment + 1))
+        return F.when(allowed_edits(n) == edits, F.xxhash64(n, F.lit(segment), F.substring("wide", (start + shift) * 4 + 1, (end - start) * 4)))
 
-    return F.transform(places, key)
+    return {f"k{i}": key(*p) for i, p in enumerate(_places())}
 
 
 def _signature() -> Column:
-    """Counts of the letters modulo 32, five bits each, below the length modulo 16."""
-    count = lambda c: (F.octet_length("line") - F.octet_length(F.replace(F.col("line"), c, F.lit("")))).cast("long").bitwiseAND(F.lit(31))
-    counts = F.aggregate(F.array(*map(F.lit, LETTERS)), F.lit(0).cast("long"), lambda a, c: a * 32 + count(c))
-    return counts.bitwiseOR(F.shiftleft((F.col("len") % 16).cast("long"), 60))
+    """Counts of the letters modulo 32, five bits each, below the length modulo 16. Letters are taken out one after another, so that what is looked through shrinks.
+
+    The lambda, beside the counts, keeps the whole projection out of whole-stage code, where keys and counts are one method that is too long to be compiled.
+    """
+    rest, counts = F.col("line"), F.lit(0).cast("long")
+    for c in LETTERS:
+        less = F.replace(rest, F.lit(c), F.lit(""))
+        counts, rest = counts * 32 + (F.octet_length(rest) - F.octet_length(less)).cast("long").bitwiseAND(F.lit(31)), less
+    return counts.bitwiseOR(F.get(F.transform(F.array("len"), lambda n: F.shiftleft((n % 16).cast("long"), 60)), 0))
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """id, first_doc, first_pos, n (occurrences), sig and the keys k0, k1, ... of every distinct line; stored.
-
-    Keys and signature are array expressions: as columns of their own they make generated code that is too long to be compiled.
-    """
-    rows = _lines(docs).withColumn("len", F.length("line")).withColumns({"keys": _keys(), "sig": _signature()})
-    keys = [F.any_value(F.get("keys", i)).alias(f"k{i}") for i in range(len(_places()))]
+    """id, first_doc, first_pos, n (occurrences), sig and the keys k0, k1, ... of every distinct line; stored."""
+    rows = _lines(docs).withColumns({"len": F.length("line"), "wide": F.encode("line", "UTF-32")}).withColumns({**_keys(), "sig": _signature()})
+    keys = [F.any_value(k).alias(k) for k in _keys()]
     grouped = rows.groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.min("pos").alias("first_pos"), F.count("*").alias("n"), F.any_value("sig").alias("sig"), *keys)
     return common.stored(grouped)
 

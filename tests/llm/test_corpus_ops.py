@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from seqforge.llm import common, decontaminate, jaccard, line_dedup, packing, quality, queries
@@ -87,6 +88,21 @@ def test_line_dedup_matches_brute_force(spark):
     assert got[0].asDict().keys() >= {"lang", "key", "a", "n_lines", "n_dropped"}
 
 
+def test_line_keys_are_own_columns_of_whole_characters(spark):
+    """Keys of a line with characters of one to four bytes: equal where the plain segments are. No lambda runs over the places."""
+    lines = [("aé𝄞z" * 30)[:n] for n in (39, 40, 41, 79, 80, 81, 82, 83)] + ["b" + ("aé𝄞z" * 30)[1:80], ("aé𝄞z" * 30)[:79] + "b"]
+    wide = spark.createDataFrame([(x,) for x in lines], "line string").withColumns({"len": F.length("line"), "wide": F.encode("line", "UTF-32")})
+    seen = {}
+    for row in wide.select("line", *[k.alias(n) for n, k in line_dedup._keys().items()]).collect():
+        for i, (edits, less, segment, shift, _) in enumerate(line_dedup._places()):
+            n = len(row.line) - less
+            start, end = n * segment // (edits + 1) + shift, n * (segment + 1) // (edits + 1) + shift
+            plain = (n, segment, row.line[start:end]) if allowed(n) == edits else None
+            assert (row[f"k{i}"] is None) == (plain is None)
+            assert seen.setdefault(row[f"k{i}"], plain) == plain
+    assert len(set(seen.values())) == len(seen) == 40
+
+
 def test_line_dedup_of_very_long_texts(spark):
     line = "x" * 40000 + "some words here"
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, [line, line.replace("words", "wordz"), "y" * 39000 + line])).collect()}
