@@ -4,12 +4,13 @@ Texts are cut into passages: windows of 64 words that start every 32 words; an i
 benchmark into pieces of at most 48 words. A randomised SVD of TF-IDF passages gives a latent
 space: Spark tasks multiply their passages with a random basis, partial products are summed
 per block of rows, and the orthonormal factor is the next basis. Its rows are the items'
-pieces and the passages of a bounded sample of documents over the items' words; document
-frequencies are counted over all documents. Every passage of every document is then compared
+pieces and the passages of all documents over the items' words, added up with random signs
+in a bounded number of sums (a count sketch, whose product with itself is that of all
+passages but for noise); sums and document frequencies are made in one reading. Every passage of every document is then compared
 with every piece by cosine in that space; pairs above a threshold are held to a longest
 common subsequence of words, and to the item's answer where the benchmark has one.
 
-The latent space is fitted on a sample and a short piece is a small part of a passage, so the
+The latent space has a bounded rank and a short piece is a small part of a passage, so the
 cosine alone loses copies. Every piece is therefore also counted against every window of 96
 words: where enough of its words occur at all, runs of about the piece's own length are held
 to the same subsequence. The count is an upper bound, so no such copy is lost whatever the
@@ -44,8 +45,8 @@ from . import common
 WORD = re.compile(r"\w+")
 #: Words of a cell (half a passage), and of an item's piece at most.
 CELL, PIECE = 32, 48
-#: Rank of the latent space, rounds of subspace iteration, documents whose passages the fit reads at most.
-RANK, ROUNDS, SAMPLE = 192, 2, 600
+#: Rank of the latent space, rounds of subspace iteration, sums to which the passages of all documents are added (fewer for more than TABLE / SUMS words, twice the rank at least).
+RANK, ROUNDS, SUMS = 192, 2, 2048
 #: Words in more than this share of documents say nothing.
 COMMON = 0.3
 #: Least cosine of a candidate; least share of a piece's words in common order.
@@ -99,22 +100,6 @@ def masks_of(piece: Piece) -> dict[str, int]:
     return mask
 
 
-def document_frequency(docs: DataFrame, vocabulary: frozenset[str]) -> tuple[int, dict[str, int]]:
-    """Number of documents, and of those that hold each word, over all documents."""
-
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, seen = 0, Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                n += 1
-                seen.update(vocabulary.intersection(words_of(text)))
-        yield pd.DataFrame({"word": ["", *seen.keys()], "n": [n, *seen.values()]})
-
-    counted = docs.select("text").transform(common.in_batches, task, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
-    found = dict(zip(counted["word"], counted["n"].tolist(), strict=True))
-    return found.pop("", 0), found
-
-
 def passages(texts: list[str | None], index: dict[str, int]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
     """Words of each text; of each vocabulary word in them its id and cell; the text of each cell. A text has ceil(words / CELL) cells."""
     split = [words_of(t) for t in texts]
@@ -195,29 +180,77 @@ def close_copy(piece: Piece, mask: dict[str, int], span: list[str], min_common:
     return share if share >= min_common else 0.0
 
 
-def sampled(docs: DataFrame) -> DataFrame:
-    """The texts whose passages the latent spaces are fitted on, stored once for all blocks of items."""
-    sample = docs.where("text IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    return common.stored(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left_semi"))
+def n_sums(n_words: int) -> int:
+    return min(SUMS, max(2 * RANK, TABLE // max(1, n_words)))
+
+
+def _dealt(key: np.ndarray, number: np.ndarray, sums: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of each passage and its sign, as a function of its row's hash and its number in the text."""
+    h = key.astype(np.uint64) + (number.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    h ^= h >> np.uint64(31)
+    return ((h >> np.uint64(1)) % np.uint64(sums)).astype(np.int64), (h & np.uint64(1)).astype(np.int32) * 2 - 1
+
 
+def corpus_counts(docs: DataFrame, index: dict[str, int]) -> tuple[int, np.ndarray, DataFrame]:
+    """Number of documents, number of those that hold each word, and the kept sums (at: number of the first, part: their integers) of the passages of all documents.
 
-def latent_basis(texts: DataFrame, pieces: list[Piece], index: dict[str, int], idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """Orthonormal words x rank basis of the leading right singular vectors, by distributed subspace iteration."""
+    Integers are added, so neither partitions nor retries change a sum.
+    """
+    v, sums = len(index), n_sums(len(index))
+    block = max(1, 65_536 // v)
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, df, total = 0, np.zeros(v, dtype=np.int64), np.zeros(sums * v, dtype=np.int32)
+        for batch in batches:
+            n += len(batch)
+            for keys, texts in _chunks(batch["key"].tolist(), batch["text"].tolist()):
+                _, ids, cell, owner = passages(texts, index)
+                df += np.bincount(np.unique(owner[cell] * v + ids) % v, minlength=v)
+                number = np.arange(len(owner)) - np.searchsorted(owner, owner)
+                to, sign = _dealt(np.array(keys, dtype=np.int64)[owner], number, sums)
+                np.add.at(total, to[cell] * v + ids, sign[cell])
+                second = number[cell] > 0  # also the second cell of the passage before
+                at = cell[second] - 1
+                np.add.at(total, to[at] * v + ids[second], sign[at])
+        made = total.reshape(sums, v)
+        narrow = made.astype(np.min_scalar_type(-1 - int(np.abs(made).max(initial=0))))
+        starts = list(range(0, sums, block))
+        yield pd.DataFrame({"at": [-1, *starts], "part": [np.append(df, n).tobytes(), *(narrow[k : k + block].tobytes() for k in starts)]})
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        at = int(group["at"].iloc[0])
+        size = v + 1 if at < 0 else min(block, sums - at) * v
+        summed = sum(np.frombuffer(p, dtype=f"i{len(p) // size}").astype(np.int64) for p in group["part"])
+        return pd.DataFrame({"at": [at], "part": [summed.tobytes()]})
+
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").transform(common.in_batches, task, "at long, part binary")
+    kept = common.stored(rows.groupBy("at").applyInPandas(add, "at long, part binary"))
+    counted = kept.where("at < 0").first()
+    df = np.frombuffer(counted["part"], dtype=np.int64) if counted else np.zeros(v + 1, dtype=np.int64)
+    return int(df[-1]), df[:-1], kept.where("at >= 0")
+
+
+def latent_basis(sums: DataFrame, columns: np.ndarray, n_words: int, pieces: list[Piece], index: dict[str, int], idf: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """Orthonormal words x rank basis of the leading right singular vectors, by distributed subspace iteration; ``columns``: the index's words in ``sums`` of ``n_words``."""
     v, rank = len(index), min(rank, len(index))
-    spark = texts.sparkSession
+    spark = sums.sparkSession
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            _, ids, cell, owner = passages(batch["text"].tolist(), index)
-            both = np.concatenate([cell, np.where((cell > 0) & (owner[cell] == owner[cell - 1]), cell - 1, -1)])
-            twice = np.concatenate([ids, ids])[both >= 0]
-            grouped = pd.Series(twice).groupby(both[both >= 0]).agg(list)
-            yield pd.DataFrame({"terms": pd.Series(grouped.tolist(), dtype=object), "weight": np.ones(len(grouped), dtype=np.float32)})
-
-    theirs = common.cut(texts.transform(common.in_batches, rows, "terms array<int>, weight float"))
+            for part in batch["part"]:
+                made = np.frombuffer(part, dtype=np.int64).reshape(-1, n_words)[:, columns]
+                made = made[made.any(axis=1)]
+                terms = [np.flatnonzero(r) for r in made]
+                times = [r[t].astype(np.float32) for r, t in zip(made, terms, strict=True)]
+                yield pd.DataFrame({"terms": pd.Series([t.astype(np.int32) for t in terms], dtype=object), "times": pd.Series(times, dtype=object), "weight": np.ones(len(made), dtype=np.float32)})
+
+    schema = "terms array<int>, times array<float>, weight float"
+    theirs = common.cut(sums.transform(common.in_batches, rows, schema))
     own = [[index[w] for w in p.words if w in index] for p in pieces]
     heavy = math.sqrt(1 + theirs.count() / max(1, len(pieces)))
-    mine = spark.createDataFrame([(t, float(heavy)) for t in own if t], "terms array<int>, weight float")
+    mine = spark.createDataFrame([(t, [1.0] * len(t), float(heavy)) for t in own if t], schema)
     matrix = common.cut(theirs.unionByName(mine).coalesce(8))
     block = 512
 
@@ -231,8 +264,8 @@ def latent_basis(texts: DataFrame, pieces: list[Piece], index: dict[str, int], i
                 for at in range(0, len(batch), step):
                     part = batch.iloc[at : at + step]
                     a = np.zeros((len(part), v), dtype=np.float32)
-                    for i, (terms, weight) in enumerate(zip(part["terms"], part["weight"], strict=True)):
-                        np.add.at(a[i], terms, idf[terms])
+                    for i, (terms, times, weight) in enumerate(zip(part["terms"], part["times"], part["weight"], strict=True)):
+                        np.add.at(a[i], terms, times * idf[terms])
                         a[i] *= weight / max(float(np.linalg.norm(a[i])), 1e-9)
                     total += a.T @ (a @ basis)
             starts = range(0, v, block)
@@ -251,8 +284,9 @@ def latent_basis(texts: DataFrame, pieces: list[Piece], index: dict[str, int], i
     return basis
 
 
-def scorer(sample: DataFrame, pieces: list[Piece], n_docs: int, df: dict[str, int], min_cosine: float, min_common: float) -> Callable[[list, list], list[tuple]]:
+def scorer(sums: DataFrame, words: dict[str, int], pieces: list[Piece], n_docs: int, counts: np.ndarray, min_cosine: float, min_common: float) -> Callable[[list, list], list[tuple]]:
     """(doc_ids, texts) -> pairs, for a block of items: its latent space and what its pieces are counted by."""
+    df = {w: int(counts[words[w]]) for p in pieces for w in p.words}
     vocabulary = frozenset(w for p in pieces for w in p.words)
     # words that most documents hold are left out; where that leaves a piece nothing, its rarest words stay
     kept = {w for w in vocabulary if df.get(w, 0) <= COMMON * n_docs}
@@ -261,7 +295,8 @@ def scorer(sample: DataFrame, pieces: list[Piece], n_docs: int, df: dict[str, in
             kept.update(sorted(set(p.words), key=lambda w: (df.get(w, 0), w))[:3])
     index = {w: i for i, w in enumerate(sorted(kept))}
     idf = np.array([math.log((1 + n_docs) / (1 + df.get(w, 0))) + 0.1 for w in index], dtype=np.float32)
-    vectors = latent_basis(sample, pieces, index, idf) * idf[:, None]
+    columns = np.array([words[w] for w in index], dtype=np.int64)
+    vectors = latent_basis(sums, columns, len(words), pieces, index, idf) * idf[:, None]
     targets = np.zeros((len(pieces), vectors.shape[1]), dtype=np.float32)
     for i, p in enumerate(pieces):
         targets[i] = vectors[[index[w] for w in p.words if w in index]].sum(axis=0)
@@ -315,23 +350,25 @@ def scorer(sample: DataFrame, pieces: list[Piece], n_docs: int, df: dict[str, in
     return score
 
 
-def _scored(batch: pd.DataFrame, score: Callable[[list, list], list[tuple]]) -> list[tuple]:
-    """Pairs of a batch, CHUNK words at a time."""
-    found, doc_ids, texts, size = [], [], [], 0
-    for d, t in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-        doc_ids.append(d), texts.append(t)
+def _chunks(keys: list, texts: list) -> Iterator[tuple[list, list]]:
+    """Keys and texts of a batch, CHUNK words at a time."""
+    first, size = 0, 0
+    for k, t in enumerate(texts, 1):
         size += len(t or "") // 6
-        if size >= CHUNK:
-            found += score(doc_ids, texts)
-            doc_ids, texts, size = [], [], 0
-    return found + score(doc_ids, texts)
+        if size >= CHUNK or k == len(texts):
+            yield keys[first:k], texts[first:k]
+            first, size = k, 0
+
+
+def _scored(batch: pd.DataFrame, score: Callable[[list, list], list[tuple]]) -> list[tuple]:
+    return [pair for part in _chunks(batch["doc_id"].tolist(), batch["text"].tolist()) for pair in score(*part)]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = MIN_COSINE, min_common: float = MIN_COMMON, items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
     """doc_id, item_id, cosine, common_share of every leaked pair. ``benchmark``: item_id, text and, if it has one, answer.
 
-    Documents are read twice, however many blocks of items there are: for the frequencies of all items' words, and to be scored against
-    every block in turn. What several blocks are scored by is kept in the shared folder and loaded by the tasks.
+    Documents are read twice, however many blocks of items there are: for the frequencies and sums of all items' words, and to be scored
+    against every block in turn. What several blocks are scored by is kept in the shared folder and loaded by the tasks.
     """
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None)
     items = common.cut(benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text", answer.cast("string").alias("answer")).distinct())
@@ -341,12 +378,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = MIN_COSINE,
     spark = docs.sparkSession
     if not blocks:
         return spark.createDataFrame([], PAIRS)
-    n_docs, df = document_frequency(docs, frozenset(w for pieces in blocks for p in pieces for w in p.words))
-    sample = sampled(docs)
-    scorers: list = [scorer(sample, blocks[0], n_docs, df, min_cosine, min_common)]
+    words = {w: i for i, w in enumerate(sorted({w for pieces in blocks for p in pieces for w in p.words}))}
+    n_docs, counts, sums = corpus_counts(docs, words)
+    made = (scorer(sums, words, pieces, n_docs, counts, min_cosine, min_common) for pieces in blocks)
+    scorers: list = [next(made)]
     if len(blocks) > 1:
         folder = f"{common.shared_dir(spark)}/{uuid.uuid4().hex}"
-        scorers = [_put(f"{folder}/{k}", scorers[0] if k == 0 else scorer(sample, pieces, n_docs, df, min_cosine, min_common)) for k, pieces in enumerate(blocks)]
+        scorers = [_put(f"{folder}/{k}", score) for k, score in enumerate(chain(scorers, made))]
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

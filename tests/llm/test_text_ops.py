@@ -649,3 +649,33 @@ def test_leaks_of_several_blocks_of_items_are_those_of_one(spark):
     recall = len(planted[True] & one) / len(planted[True])
     print(f"recall of items of one to four words: {recall:.2f}")
     assert decontaminate.leaks(frame, bench.limit(0)).collect() == []
+
+
+def test_latent_space_is_fitted_on_the_passages_of_all_documents(spark):
+    """A thousand documents of one passage, each with a word of its own: every word is in the sums, once, however the rows are dealt."""
+    texts = [f"word{k} other text" for k in range(1000)] + [None, ""]
+    index = {f"word{k}": k for k in range(1000)}
+    made = []
+    for parts in (1, 5):
+        rows = docs(spark, texts)
+        n, df, sums = decontaminate.corpus_counts(rows.repartition(parts), index)
+        assert n == rows.count() and df.tolist() == [1] * 1000
+        rows = sums.orderBy("at").collect()
+        made.append(np.concatenate([np.frombuffer(r.part, dtype=np.int64) for r in rows]).reshape(-1, 1000))
+    assert (made[0] == made[1]).all() and len(made[0]) == decontaminate.n_sums(1000)
+    assert (np.abs(made[0]).sum(axis=0) == 1).all()
+
+
+def test_latent_sums_keep_the_products_of_words(spark):
+    """Passages are of two cells of one text; the sums' products of words are those of all passages but for noise."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(4) + 4 * rng.randrange(1 + k % 2)}" for _ in range(rng.randrange(1, 100))) for k in range(800)]
+    index = {f"w{k}": k for k in range(8)}
+    _, _, sums = decontaminate.corpus_counts(docs(spark, texts), index)
+    got = np.concatenate([np.frombuffer(r.part, dtype=np.int64) for r in sums.orderBy("at").collect()]).reshape(-1, 8).astype(float)
+    rows = []
+    for words in (t.split() for t in texts):
+        rows += [np.bincount([index[w] for w in words[at : at + 64]], minlength=8) for at in range(0, len(words), 32)]
+    want = np.array(rows, dtype=float)
+    a, b = got.T @ got, want.T @ want
+    assert np.abs(a - b).max() < 0.1 * b.max()
