@@ -2,7 +2,8 @@
 
 ``spark.read.format("y4m").load(path)`` reads a file or the ``.y4m`` files of a folder. All frames
 of a file have one size in bytes, so the driver reads headers only and cuts each file into
-ranges of whole frames (option ``splitBytes``), which tasks read side by side. Where the file's length
+ranges of whole frames (option ``splitBytes``), which tasks read side by side: a range each up to
+``TASKS`` ranges, then runs of them, so that many small files or ranges are no task each. Where the file's length
 does not fit (frame headers with parameters, or an incomplete last frame) the file is one range,
 walked from frame to frame; an incomplete last frame is left out. Frames are numbered from 1.
 Chroma is as stored: halved (C420...), halved in width (C422), whole (C444) or none (Cmono, null planes).
@@ -33,6 +34,8 @@ SCHEMA = "path string, frame_no int, width int, height int, chroma_width int, ch
 FRAME = b"FRAME\n"
 #: Bytes of a file that one task reads, of an Arrow batch, and of the longest header.
 SPLIT_BYTES, BATCH_BYTES, HEADER_BYTES = 64 << 20, 2 << 20, 4096
+#: Tasks for whose sake ranges are not put together; more are made where these would read more than SPLIT_BYTES each.
+TASKS = 256
 
 
 @dataclass(frozen=True)
@@ -75,7 +78,7 @@ def layout(start: bytes) -> Layout:
 
 
 @dataclass(frozen=True)
-class Range(InputPartition):
+class Range:
     """Frames ``first``.. of a file from a byte on; ``count`` is None where the frames are to be walked to the end."""
 
     path: str
@@ -83,6 +86,25 @@ class Range(InputPartition):
     offset: int
     first: int
     count: int | None
+    size: int
+
+
+@dataclass(frozen=True)
+class Ranges(InputPartition):
+    """What one task reads."""
+
+    ranges: list[Range]
+
+
+def together(ranges: list[Range]) -> list[Ranges]:
+    """Consecutive ranges by equal shares of bytes, or one each if they are few."""
+    ends = np.cumsum([r.size for r in ranges])
+    n = max(TASKS, -(-int(ends[-1]) // SPLIT_BYTES)) if ranges else 0
+    if len(ranges) <= n:
+        return [Ranges([r]) for r in ranges]
+    share = (ends - 1) * n // ends[-1]
+    cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(ranges)]
+    return [Ranges(ranges[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _batch(path: str, made: Layout, first: int, frames: list[list[bytes]]) -> pa.RecordBatch:
@@ -102,7 +124,7 @@ class Y4mReader(DataSourceReader):
     def __init__(self, path: str, split_bytes: int):
         self.path, self.split_bytes = path, split_bytes
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         where, name = shared_files.located(self.path)
         info = where.get_file_info(name)
         if info.type == fs.FileType.NotFound:
@@ -115,13 +137,17 @@ class Y4mReader(DataSourceReader):
                 whole = len(FRAME) + sum(made.planes)
                 n, rest = divmod(file.size - made.head, whole)
                 if rest or (n and data.read_at(len(FRAME), made.head) != FRAME):
-                    ranges.append(Range(file.path, made, made.head, 1, None))
+                    ranges.append(Range(file.path, made, made.head, 1, None, file.size))
                     continue
             each = max(1, self.split_bytes // whole)
-            ranges += [Range(file.path, made, made.head + at * whole, at + 1, min(each, n - at)) for at in range(0, n, each)]
-        return ranges
+            ranges += [Range(file.path, made, made.head + at * whole, at + 1, min(each, n - at), min(each, n - at) * whole) for at in range(0, n, each)]
+        return together(ranges)
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for one in partition.ranges:
+            yield from self._read(one)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def _read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         where, _ = shared_files.located(self.path)
         made, number, frames = partition.layout, partition.first, []
         size = sum(made.planes)

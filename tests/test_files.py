@@ -63,6 +63,19 @@ def test_one_file_is_read_in_parallel(spark, tmp_path):
     assert y4m.read(spark, f"{tmp_path}/a.y4m", 36).rdd.getNumPartitions() == 32
 
 
+def test_many_small_ranges_share_tasks(spark, tmp_path, monkeypatch):
+    """Files of frames of their own: no more tasks than the limit, each frame once and in order."""
+    monkeypatch.setattr(y4m, "TASKS", 8)
+    rng = random.Random(1)
+    for k in range(50):
+        (tmp_path / f"{k:02d}.y4m").write_bytes(video(rng, b"YUV4MPEG2 W4 H2\n", 12, 3))
+    parts = y4m.Y4mReader(str(tmp_path), 18).partitions()
+    assert len(parts) == 8 and max(len(p.ranges) for p in parts) <= 20
+    assert [(r.path[-6:-4], r.first) for p in parts for r in p.ranges] == [(f"{k:02d}", f) for k in range(50) for f in (1, 2, 3)]
+    want = [(f"{k:02d}.y4m", n, p) for k in range(50) for n, p in enumerate(plain_frames((tmp_path / f"{k:02d}.y4m").read_bytes()), 1)]
+    assert read(spark, str(tmp_path), 18) == want
+
+
 @pytest.mark.parametrize("data, message", [(b"RIFF", "not a Y4M"), (b"YUV4MPEG2 W4 H2 C420p10\n", "more than 8 bits"), (b"YUV4MPEG2 W4 H2 C411\n", "unknown chroma")])
 def test_other_files_are_errors(data, message):
     with pytest.raises(ValueError, match=message):
