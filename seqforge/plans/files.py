@@ -14,6 +14,8 @@ from seqforge.plans import sql
 from seqforge.sources import adapters, images, kept, sinks, y4m
 
 LENGTH, TILE = 2, 4
+#: Least number of tasks that write tiles: executors may not have come yet when it is chosen.
+WRITERS = 16
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -40,8 +42,8 @@ def sequence_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = high.groupBy("chunk_no").agg(F.max("src_frame").alias("n"))
     starts = lengths.select("chunk_no", F.explode(sequences.full_starts(F.col("n"), LENGTH)).alias("start"))
     sinks.write_sequence_images(chunking.number_groups(starts, "chunk_no", "start", name="seq_id"), folder, high, low, LENGTH)
-    sides = [images.gray_frames(spark, f"{folder}/*/{side}").withColumn("side", F.lit(side)) for side in ("hr", "lr")]
-    return sides[0].unionByName(sides[1]).select("side", "seq", "frame_no", "width", "height", plans.text())
+    side = F.element_at(F.split("path", "/"), -2).alias("side")
+    return images.png_frames(spark, folder).select(side, "seq", "frame_no", "width", "height", plans.text())
 
 
 SEQUENCE_IMAGES = f"""WITH {sql.FRAMES}, f AS (SELECT * FROM frames WHERE label <> 7), n AS (SELECT seq, max(frame_no) AS n FROM f GROUP BY seq),
@@ -54,14 +56,14 @@ UNION ALL SELECT 'lr', seq, frame_no, 4, 4, string_agg(v::VARCHAR, ',' ORDER BY
 
 
 def tile_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four tiles of every frame as PNG files of their own shows, read back as images."""
+    """The four tiles of every frame as PNG files of their own shows, read back as images. Vectors are dealt anew, as a table of few large files gives few tasks."""
     folder = _folder(spark, "tiles")
-    frames = adapters.embedding_frames(spark, sf_dir)
+    frames = adapters.frames_of(adapters.table(spark, sf_dir, "embeddings").repartition(max(WRITERS, 2 * spark.sparkContext.defaultParallelism)))
     grid = tiling.grid(spark.createDataFrame([(8, 8)], "width int, height int"), TILE, TILE).select("x", "y", "tile_idx")
     tiles = tiling.cut(frames.crossJoin(F.broadcast(grid)), TILE, TILE)  # four rows
     show = (F.col("seq") * 4 + F.col("tile_idx") + 1).alias("show")
     sinks.write_tile_images(tiles.select(show, "frame_no", F.lit(TILE).alias("width"), F.lit(TILE).alias("height"), "tile_pixels"), folder)
-    return images.gray_frames(spark, folder, recursive=True).select("seq", "frame_no", "width", "height", plans.text())
+    return images.png_frames(spark, folder).select("seq", "frame_no", "width", "height", plans.text())
 
 
 TILE_IMAGES = f"""WITH {sql.FRAMES}, p AS (SELECT seq, frame_no, i % 8 AS x, i // 8 AS y, v FROM (SELECT seq, frame_no, unnest(pixels) AS v, unnest(range(64)) AS i FROM frames))

@@ -16,7 +16,12 @@ def _pixels() -> Column:
 
 def embedding_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five consecutive vectors are the frames of a sequence, each an 8 x 8 image. Adds label and vec_id."""
-    return table(spark, sf_dir, "embeddings").select(
+    return frames_of(table(spark, sf_dir, "embeddings"))
+
+
+def frames_of(embeddings: DataFrame) -> DataFrame:
+    """The frames of vectors that were read."""
+    return embeddings.select(
         F.expr("vec_id div 5").alias("seq"),
         (F.col("vec_id") % 5 + 1).cast("int").alias("frame_no"),
         F.lit(8).alias("width"),

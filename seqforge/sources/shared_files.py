@@ -19,10 +19,11 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext, cloudpickle
-from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -46,21 +47,21 @@ class Written(WriterCommitMessage):
     files: int
 
 
-class FilesWriter(DataSourceWriter):
+class FilesWriter(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite, self.job = path.rstrip("/"), overwrite, uuid.uuid4().hex
 
     def _attempts(self) -> str:
         return f"{located(self.path)[1]}/{ATTEMPTS}/{self.job}"
 
-    def write(self, iterator: Iterator[Row]) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         where, _ = located(self.path)
         context = TaskContext.get()
         attempt = f"{context.partitionId():06d}-{context.taskAttemptId()}"
-        folder, files, out, last = f"{self._attempts()}/{attempt}", 0, None, None
+        folder, files, out, last, inside = f"{self._attempts()}/{attempt}", 0, None, None, None
         try:
-            for row in iterator:
-                name, content = row["name"], row["content"]
+            for row in (row for batch in iterator for row in zip(batch.column("name"), batch.column("content"), strict=True)):
+                name, content = (value.as_py() for value in row)
                 if content is None:
                     continue
                 if name is None or name.startswith("/") or ".." in name.split("/"):
@@ -69,7 +70,9 @@ class FilesWriter(DataSourceWriter):
                     if out is not None:
                         out.close()
                     target = f"{folder}/{name}"
-                    where.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                    if target.rsplit("/", 1)[0] != inside:
+                        inside = target.rsplit("/", 1)[0]
+                        where.create_dir(inside, recursive=True)
                     if where.get_file_info(target).type != fs.FileType.NotFound:
                         raise ValueError(f"rows of {name} do not follow one another")
                     out, last, files = where.open_output_stream(target), name, files + 1

@@ -1,15 +1,18 @@
 """Y4M files at any split, images from tasks, commits in two phases."""
 
 import random
+import struct
 import subprocess
 import sys
 import textwrap
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from seqforge.functions import png
-from seqforge.sources import images, shared_files, sinks, y4m
+from seqforge.plans import files
+from seqforge.sources import images, kept, shared_files, sinks, y4m
 
 PLANES = "video_id long, frame_no int, width int, height int, y array<int>, u array<int>, v array<int>"
 
@@ -115,6 +118,73 @@ def test_sequences_of_which_a_frame_is_missing_have_no_file(spark, tmp_path):
     assert {(r.seq, r.pixels[0]) for r in images.gray_frames(spark, str(tmp_path / "tiles"), recursive=True).collect()} == {("show00001", 5), ("show2500".replace("show", "show0"), 6)}
 
 
+def png_file(width, height, lines, bits=8, colour=0, interlace=0):
+    """A PNG of rows that are given with their filter bytes, with a comment and its data in two parts."""
+    data = zlib.compress(lines)
+    parts = [(b"IHDR", struct.pack(">IIBBBBB", width, height, bits, colour, 0, 0, interlace)), (b"tEXt", b"a\0b"), (b"IDAT", data[:5]), (b"IDAT", data[5:]), (b"IEND", b"")]
+    return png.SIGNATURE + b"".join(struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b)) for k, b in parts)
+
+
+def test_png_frames_equal_the_image_source(spark, tmp_path):
+    """Gray and colour, rows stored in three ways, at several depths; files of other names and hidden ones are none."""
+    rng = random.Random(9)
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "_attempts").mkdir()
+    for k, (folder, colour) in enumerate([(".", 0), ("a", 2), ("a/b", 0), ("a/b", 2), ("a/b", 2)]):
+        n = 3 if colour else 1
+        lines = b"".join(bytes([how]) + rng.randbytes(5 * n) for how in ([2] * 3 if k == 4 else [2, 0, 1, 2, 1][k : k + 1] + [1, 2]))
+        (tmp_path / folder / f"show{k:05d}_Frame00001.{'PNG' if k == 2 else 'png'}").write_bytes(png_file(5, 3, lines, colour=colour))
+    (tmp_path / "a" / "other_Frame00007.png").write_bytes(png_file(1, 1, b"\0\7"))
+    for name in ("a/notes.txt", "_attempts/show00009_Frame00001.png", ".show00009_Frame00001.png"):
+        (tmp_path / name).write_bytes(b"no image")
+    rows = lambda df: sorted(map(repr, df.select("seq", "frame_no", "width", "height", "pixels").collect()))
+    got = images.png_frames(spark, str(tmp_path))
+    (tmp_path / "a" / "notes.txt").unlink()
+    assert rows(got) == rows(images.gray_frames(spark, str(tmp_path), recursive=True)) and got.count() == 6
+    assert {r.path.rsplit("/", 2)[1] for r in got.collect()} == {tmp_path.name, "a", "b"}
+
+
+def test_no_png_at_all(spark, tmp_path):
+    assert images.png_frames(spark, str(tmp_path)).collect() == []
+
+
+GOOD = png_file(2, 1, b"\0\1\2")
+
+
+@pytest.mark.parametrize(
+    "data, message",
+    [
+        (b"RIFF", "not a PNG"),
+        (GOOD[:-5], "breaks off"),
+        (GOOD[:-20] + b"x" + GOOD[-19:], "wrong check sum"),
+        (png_file(2, 1, b"\4\1\2"), "two neighbours"),
+        (png_file(2, 1, b"\0\1\2\3\4", bits=16), "another kind"),
+        (png_file(2, 1, b"\0\1\2", colour=3), "another kind"),
+        (png_file(2, 1, b"\0\1\2", interlace=1), "another kind"),
+        (png_file(2, 2, b"\0\1\2"), "reshape"),
+    ],
+)
+def test_a_png_of_another_kind_is_an_error(spark, tmp_path, data, message):
+    (tmp_path / "show00001_Frame00001.png").write_bytes(data)
+    assert png.decoded(GOOD).tolist() == [[1, 2]]
+    with pytest.raises(ValueError, match=message):
+        png.decoded(data)
+    with pytest.raises(Exception, match=f"show00001_Frame00001.png: .*{message}"):
+        images.png_frames(spark, str(tmp_path)).collect()
+
+
+def test_many_small_images_share_tasks(spark, tmp_path, monkeypatch):
+    """2,000 tiles of one small table: several tasks write them, the driver is given no list of them, and a task reads many."""
+    monkeypatch.setattr(kept, "shared_dir", lambda _: str(tmp_path))
+    df = files.tile_images(spark, "/root/testdata/sf0.001")
+    written = list(tmp_path.rglob("*.png"))
+    assert len(written) == 2000 and len({p.relative_to(tmp_path).parts[1] for p in written}) > 1
+    assert not [f for f in df.inputFiles() if f.endswith(".png")] and df.rdd.getNumPartitions() == 1
+    monkeypatch.setattr(images, "FILES", 150)
+    again = images.png_frames(spark, str(tmp_path))
+    assert again.rdd.getNumPartitions() == 14 and again.select("seq", "frame_no").distinct().count() == df.count() == 2000
+
+
 def test_overwrite_and_append(spark, tmp_path):
     one = lambda name: spark.createDataFrame([(name, bytearray(b"x"))], "name string, content binary")
     names = lambda: sorted(p.name for p in tmp_path.rglob("*") if p.is_file())
